@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecloom.llm.quality import op9_quality
+from vecloom.llm.secrets import OP2_SQL, op2_secret_scan
 from vecloom.llm.url_filter import OP1_SQL, op1_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter}
+    return {
+        "op1_url_filter": op1_url_filter,
+        "op2_secret_scan": op2_secret_scan,
+        "op9_quality": op9_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL}
+    return {
+        "op1_url_filter": OP1_SQL,
+        "op2_secret_scan": OP2_SQL,
+    }
