@@ -33,7 +33,7 @@ COMMON = {
     "fr": "de des du en est et la le les par pour que qui sur un une",
 }
 #: Least words, and greatest distance of the classes' and of the common words' histograms.
-LEAST_WORDS, MOST_CLASS, MOST_COMMON = 100, 0.30, 0.60
+LEAST_WORDS, MOST_CLASS, MOST_COMMON = 100, 0.25, 0.30
 BASE_WORDS = 50
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -121,3 +121,39 @@ def judge(docs: DataFrame) -> DataFrame:
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     return judge(docs).select("doc_id", *_COUNTS, "base_failed", "kept")
+
+
+def _op9_sql() -> str:
+    blank, lists = r"\x20\x09-\x0D", ", ".join(f"('{k}', ['{"', '".join(v.split())}'])" for k, v in COMMON.items())
+    classes = ["[a-z]", "[A-Z]", f"[{blank}]", "[0-9]", r"[^\x00-\x7F]"]
+    sizes = ", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in classes)
+    dist = """sqrt(greatest(0, list_sum(list_transform(range(1, len({a}) + 1), lambda i:
+        ((CASE WHEN {a}[i] > 0 THEN {a}[i] / list_sum({a}) * log2(2 * ({a}[i] / list_sum({a})) / ({a}[i] / list_sum({a}) + {b}[i] / list_sum({b}))) ELSE 0 END) +
+         (CASE WHEN {b}[i] > 0 THEN {b}[i] / list_sum({b}) * log2(2 * ({b}[i] / list_sum({b})) / ({a}[i] / list_sum({a}) + {b}[i] / list_sum({b}))) ELSE 0 END)) / 2))))"""
+    return f"""
+WITH lists(lang, words) AS (VALUES {lists}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^{blank}]+') AS words,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{blank}]')) AS lines,
+        regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS plain FROM d),
+x AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 3),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n FROM x),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
+c AS (SELECT rid, doc_id, w.lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
+        [{sizes}, length(regexp_replace(t, '[a-zA-Z0-9{blank}]|[^\\x00-\\x7F]', '', 'g'))]::DOUBLE[] AS cls,
+        list_transform(l.words_, lambda v: len(list_filter(plain, lambda p: p = v))) AS listed
+      FROM w LEFT JOIN r USING (rid) LEFT JOIN (SELECT lang, words AS words_ FROM lists) l ON w.lang = l.lang),
+f AS (SELECT *, (n_words < {BASE_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+        list_append(listed, greatest(n_words - list_sum(listed), 0))::DOUBLE[] AS com FROM c),
+s AS (SELECT lang, [{", ".join(f"sum(cls[{i + 1}])" for i in range(len(CLASSES) + 1))}]::DOUBLE[] AS rcls,
+        [{", ".join(f"sum(com[{i + 1}])" for i in range(1 + len(COMMON["en"].split())))}]::DOUBLE[] AS rcom
+      FROM f WHERE NOT base_failed AND listed IS NOT NULL GROUP BY lang),
+j AS (SELECT f.*, {dist.format(a="cls", b="rcls")} AS d_classes, {dist.format(a="com", b="rcom")} AS d_common FROM f LEFT JOIN s USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (n_words < {LEAST_WORDS} OR (coalesce(d_classes, 0) <= {MOST_CLASS} AND coalesce(d_common, 0) <= {MOST_COMMON})) AS kept FROM j
+"""
+
+
+OP9_SQL = _op9_sql()

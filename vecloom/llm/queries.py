@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm.quality import op9_quality
+from vecloom.llm.quality import OP9_SQL, op9_quality
 from vecloom.llm.secrets import OP2_SQL, op2_secret_scan
 from vecloom.llm.url_filter import OP1_SQL, op1_url_filter
 
@@ -23,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": OP1_SQL,
         "op2_secret_scan": OP2_SQL,
+        "op9_quality": OP9_SQL,
     }
