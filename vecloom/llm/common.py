@@ -71,10 +71,10 @@ def running_sum(df: DataFrame, keys: Sequence[str], levels: Sequence[str], order
     before = F.coalesce(F.sum(value).over(Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if not levels:
         return df.withColumn(out, before.cast("long"))
-    groups = [*keys, *levels]
+    groups, offset = [*keys, *levels], f"_offset{len(levels)}"
     sums = df.groupBy(*groups).agg(F.sum(value).alias("_sum"))
-    offsets = running_sum(sums, keys, levels[:-1], levels[-1:], "_sum", "_offset").drop("_sum")
-    return df.withColumn("_in", before).join(offsets, groups).withColumn(out, (F.col("_in") + F.col("_offset")).cast("long")).drop("_in", "_offset")
+    offsets = running_sum(sums, keys, levels[:-1], levels[-1:], "_sum", offset).drop("_sum")
+    return df.withColumn("_in", before).join(offsets, groups).withColumn(out, (F.col("_in") + F.col(offset)).cast("long")).drop("_in", offset)
 
 
 def spread(digest: Column, groups: Column) -> tuple[Column, Column]:
