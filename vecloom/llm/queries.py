@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vecloom.llm.mixing import op5_mix_sources
 from vecloom.llm.quality import OP9_SQL, op9_quality
 from vecloom.llm.secrets import OP2_SQL, op2_secret_scan
+from vecloom.llm.sharding import op8_shard
 from vecloom.llm.url_filter import OP1_SQL, op1_url_filter
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_secret_scan": op2_secret_scan,
         "op5_mix_sources": op5_mix_sources,
+        "op8_shard": op8_shard,
         "op9_quality": op9_quality,
     }
 
