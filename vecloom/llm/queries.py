@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecloom.llm.decontaminate import OP3_SQL, op3_decontaminate
 from vecloom.llm.mixing import op5_mix_sources
 from vecloom.llm.quality import OP9_SQL, op9_quality
 from vecloom.llm.secrets import OP2_SQL, op2_secret_scan
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_secret_scan": op2_secret_scan,
+        "op3_decontaminate": op3_decontaminate,
         "op5_mix_sources": op5_mix_sources,
         "op8_shard": op8_shard,
         "op9_quality": op9_quality,
@@ -27,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": OP1_SQL,
         "op2_secret_scan": OP2_SQL,
+        "op3_decontaminate": OP3_SQL,
         "op9_quality": OP9_SQL,
     }
