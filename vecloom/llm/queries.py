@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecloom.llm.decontaminate import OP3_SQL, op3_decontaminate
 from vecloom.llm.mixing import op5_mix_sources
+from vecloom.llm.near_dup import OP10_SQL, op10_near_dup
 from vecloom.llm.quality import OP9_SQL, op9_quality
 from vecloom.llm.secrets import OP2_SQL, op2_secret_scan
 from vecloom.llm.sharding import op8_shard
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op8_shard": op8_shard,
         "op9_quality": op9_quality,
+        "op10_near_dup": op10_near_dup,
     }
 
 
@@ -31,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_secret_scan": OP2_SQL,
         "op3_decontaminate": OP3_SQL,
         "op9_quality": OP9_SQL,
+        "op10_near_dup": OP10_SQL,
     }
