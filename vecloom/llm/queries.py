@@ -12,6 +12,7 @@ from vecloom.llm.near_dup import OP10_SQL, op10_near_dup
 from vecloom.llm.quality import OP9_SQL, op9_quality
 from vecloom.llm.secrets import OP2_SQL, op2_secret_scan
 from vecloom.llm.sharding import op8_shard
+from vecloom.llm.token_count import op7_token_counts
 from vecloom.llm.url_filter import OP1_SQL, op1_url_filter
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_decontaminate": op3_decontaminate,
         "op5_mix_sources": op5_mix_sources,
+        "op7_token_counts": op7_token_counts,
         "op8_shard": op8_shard,
         "op9_quality": op9_quality,
         "op10_near_dup": op10_near_dup,
