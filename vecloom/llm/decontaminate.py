@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecloom.llm import wordhash as wh
 from vecloom.llm.common import written
@@ -32,7 +33,9 @@ from vecloom.llm.common import written
 WINDOW_WORDS, GRAM = 10, 5
 #: Words of one broadcast block of the benchmark: about 100 bytes each in the index.
 BLOCK_WORDS = 2_000_000
-_PASSED = "doc_id long, text string, hits array<long>, items array<string>"
+_HITS, _ITEMS = "__hits", "__items"
+#: What is told of a document, in the columns' order.
+REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _FILTER = np.uint64((1 << 16) - 1)
 
 
@@ -98,15 +101,16 @@ def _pass(index) -> object:
                 base = places[first]
                 hashes, offsets = wh.words(data[base : places[last]], places[first : last + 1] - base, wh.ALNUM)
                 part = batch.slice(first, last - first)
-                hits = [x or [] for x in part.column("hits").to_pylist()]
-                items = [x or [] for x in part.column("items").to_pylist()]
+                hits = [x or [] for x in part.column(_HITS).to_pylist()]
+                items = [x or [] for x in part.column(_ITEMS).to_pylist()]
                 for length, at, rows in block.hits(hashes, offsets):
                     docs = np.searchsorted(offsets, at, "right") - 1
                     for d in np.unique(docs):
                         mine = docs == d
                         hits[d] = hits[d] + ((at[mine] - offsets[d]) * 16 + length).tolist()
                         items[d] = items[d] + [block.ids[r] for r in np.unique(rows[mine]) if block.ids[r] is not None]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([sorted(set(h)) for h in hits], pa.list_(pa.int64())), pa.array([sorted(set(i)) for i in items], pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
+                new = [pa.array([sorted(set(x)) for x in found], kind) for found, kind in ((hits, pa.list_(pa.int64())), (items, pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *new], names=part.schema.names)
 
     return run
 
@@ -115,46 +119,49 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, places = wh.column(batch.column("text"))
         n_words = np.concatenate([np.diff(wh.words(data[places[a] : places[b]], places[a : b + 1] - places[a], wh.ALNUM)[1]) for a, b in wh.slices(places, 4 * wh.PIECE)] or [np.zeros(0, np.int64)])
-        n_hit, listed = np.zeros(len(n_words), np.int64), batch.column("items").to_pylist()
-        for d, hits in enumerate(batch.column("hits").to_pylist()):
+        n_hit, listed = np.zeros(len(n_words), np.int64), [x or [] for x in batch.column(_ITEMS).to_pylist()]
+        for d, hits in enumerate(batch.column(_HITS).to_pylist()):
             if hits:
                 edge = np.zeros(n_words[d] + 1, np.int64)
                 at = np.array(hits, np.int64)
                 np.add.at(edge, at >> 4, 1)
                 np.add.at(edge, (at >> 4) + (at & 15), -1)
                 n_hit[d] = np.count_nonzero(np.cumsum(edge))
-        digests = [hashlib.sha256(",".join(x or []).encode()).hexdigest() for x in listed]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(x or []) for x in listed], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
+        report = [pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in listed], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0)]
+        names = [field.split()[0] for field in REPORT.split(", ")]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.StructArray.from_arrays(report, names)], names=[*batch.schema.names[:-2], "__report"])
 
 
 def contamination_hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text, hits (16 * place of a shared window's first word + its length in words) and items (ids as
-    strings, sorted) of docs (doc_id, text), against benchmark (item_id, text)."""
+    """docs, which have a text column, with __hits (16 * place of a shared window's first word + its length in words)
+    and __items (ids as strings, sorted) at the end, against benchmark (item_id, text)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     # a word takes two bytes with what parts it from the next, so this bounds the words
     size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     blocks = int(size // block_words) + 1
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    df = docs.withColumns({_HITS: F.array().cast("array<long>"), _ITEMS: F.array().cast("array<string>")})
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).toArrow()
         if block.num_rows:
             index = spark.sparkContext.broadcast(Index(block.column("item_id").to_pylist(), block.column("text")))
-            df = df.mapInArrow(_pass(index), _PASSED)
+            df = df.mapInArrow(_pass(index), df.schema)
             if i + 1 < blocks:
                 df = written(df)
     return df
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document."""
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return contamination_hits(docs, benchmark, block_words).mapInArrow(_summed, schema)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, report: str = "report") -> DataFrame:
+    """docs, which have a text column, with a struct of the fields of REPORT."""
+    hits = contamination_hits(docs, benchmark, block_words)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__report", T.StructType.fromDDL(REPORT))])
+    return hits.mapInArrow(_summed, schema).withColumnRenamed("__report", report)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")).select("doc_id", "report.*")
 
 
 OP3_SQL = r"""

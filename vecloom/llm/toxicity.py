@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecloom.llm import wordhash as wh
 
@@ -138,25 +139,25 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
     return docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy("digest").select("text", "toxic").toArrow()
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of docs (doc_id, text)."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """docs, which have a text column, with their scores."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held.value.scores(batch.column("text")))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.scores(batch.column("text")))], names=[*batch.schema.names, "__score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])).withColumnRenamed("__score", out)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of all docs, by a model trained on their labels."""
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model that a bounded sample of the labelled docs teaches."""
     sample = training_sample(docs, labels)
-    model = train(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy().astype(np.float64))
-    predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.cast("int").alias("predicted"))
+    return train(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy().astype(np.float64))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    model = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.cast("int").alias("predicted"))
