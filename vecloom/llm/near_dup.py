@@ -14,9 +14,12 @@ Links are then confirmed on the full shingle sets. At a similarity of 0.75 the c
 COORDINATES collisions is 4e-6 for a pair, and less for closer ones.
 
 Groups of thousands of near copies are not expanded into all pairs. Each posting list is first compared with its
-most connected class alone; what links to it is in one component and needs no further comparison inside. Only
-classes left in another component than most of their list are then compared with the rest of it, so that no link
-between components is lost. Components come from repeated contraction of the links to their lesser end. All
+most connected class alone; what links to it is in one component and needs no further comparison inside. Classes
+left in another component than most of their list then meet one other member of that component in each of their
+lists, drawn by a digest, for TURNS turns; a class with many links finds one soon. Lists that still hold several
+components are then compared across these in full, by an exact prefix filter on the shingles themselves
+(_prefix_pairs), so that no link between components is lost. It keeps apart what shares much but not enough, such
+as heavily edited copies, without forming their pairs. Components come from repeated contraction of the links to their lesser end. All
 intermediate tables are written to the shared folder.
 
 Defined results: texts without words, and nulls, have no shingles and are linked with nothing. A null doc_id is
@@ -39,6 +42,8 @@ from vecloom.llm.common import written
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 48, 22
+#: Turns in which classes left apart meet drawn members of their lists, before all that remain are compared.
+TURNS = 1
 _U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(22)).integers(1, 1 << 64, COORDINATES, dtype=np.uint64) | _U(1)
 _MARKS = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 64, COORDINATES, dtype=np.uint64)
@@ -96,6 +101,34 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked)) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, places = wh.column(batch.column("text"))
+        nodes = batch.column("node").to_numpy()
+        for a, b in wh.slices(places):
+            found, offsets = shingles(data[places[a] : places[b]], places[a : b + 1] - places[a])
+            own = [np.unique(found[offsets[r] : offsets[r + 1]]) for r in range(b - a)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[a:b], [len(x) for x in own])), pa.array(np.concatenate(own).view(np.int64))], names=["node", "hash"])
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes (node, comp) in different components that may be similar enough, by their rarest
+    shingles. Shingles are ordered by how many of the nodes hold them. Sets as similar as PERCENT must share one of
+    their first ones, and at the first that they share, at places i and j, no more than 1 + min(n - i - 1, m - j - 1)
+    shingles can be common. Nothing that is similar enough is lost."""
+    held = texts.join(nodes, "node", "left_semi").mapInArrow(_hashes, "node long, hash long").distinct()
+    held = written(held)
+    shared = held.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    n = held.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    lists = held.join(shared, "hash").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("own")).join(n, "node").join(nodes, "node")
+    alone = (F.col("n") - F.size("own")).cast("int")  # shingles of this node only come first, and meet nothing
+    first = F.greatest(F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1 - alone, F.lit(0))
+    posted = written(lists.select("node", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), first)).alias("at", "s")).select("node", "comp", "n", "s.hash", (F.col("n") - F.col("at") - F.col("alone")).alias("rest")))
+    x = posted.select("hash", F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("rest").alias("x_rest"))
+    met = x.join(posted, "hash").where(f"x < node and x_comp <> comp and least(rest, x_rest) * {100 + PERCENT} >= {PERCENT} * (n + x_n)")
+    return met.select(F.col("x").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and comp, the least node reachable over links (a, b), for every node that has a link."""
     labels = None
@@ -113,18 +146,29 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """labels after the components in joined, of components and of nodes without a label, became one."""
+    moved = labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left")
+    return written(moved.select("node", F.coalesce("last", "comp").alias("comp")).unionByName(joined.join(labels, "node", "left_anti")))
+
+
+def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """value, node, comp and most (the component of most classes) of the lists that hold several components."""
+    placed = written(postings.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp")))
+    sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"))
+    several = written(sizes.groupBy("value").agg(F.max(F.struct("m", "comp"))["comp"].alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps"))
+    return written(placed.join(several, "value"))
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _confirm(pairs: DataFrame, shared: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, shared: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) with enough collisions whose full shingle sets are similar enough."""
     to = lambda end: shared.select(F.col("node").alias(end), F.col("shared").alias(f"of_{end}"))
     collided = pairs.join(to("a"), "a").join(to("b"), "b").where(F.size(F.array_intersect("of_a", "of_b")) >= MATCHES).select("a", "b")
-    collided = written(collided)
-    nodes = collided.select(F.col("a").alias("doc_id")).unionAll(collided.select("b")).distinct()
-    texts = written(docs.join(nodes, "doc_id", "left_semi"))
-    text = lambda end: texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}"))
+    text = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
     return written(collided.join(text("a"), "a").join(text("b"), "b").mapInArrow(_confirmed, "a long, b long").distinct())
 
 
@@ -138,31 +182,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     listed = values.join(held, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
     shared = written(listed.where(F.size("values") >= MATCHES).select("node", F.col("values.value").alias("shared")))
+    texts = written(docs.join(shared.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
     prefix = F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)
     postings = written(shared.select("node", F.size("shared").alias("n"), F.explode(prefix).alias("value")))
-
     best = F.max(F.struct("n", (-F.col("node")).alias("minus")))
     pivots = written(postings.groupBy("value").agg((-best["minus"]).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
     star = postings.join(pivots, "value").where("node <> pivot").select(*_ordered(F.col("pivot"), F.col("node"))).distinct()
-    star = written(star)
-    links = _confirm(star, shared, docs)
-    labels = components(links)
+    labels = components(_confirm(star, shared, texts))
+    for turn in range(TURNS + 1):
+        left = _open(postings, labels)
+        if left.isEmpty():
+            break
+        if turn < TURNS:
+            apart = left.where("comp <> most").select("value", F.col("node").alias("x"))
+            chosen = F.max(F.struct(F.xxhash64("value", "node", F.lit(turn)).alias("h"), "node"))
+            others = written(left.where("comp = most").groupBy("value").agg(chosen["node"].alias("node")))
+            pairs = apart.join(others, "value").select(*_ordered(F.col("x"), F.col("node"))).distinct()
+        else:
+            pairs = _prefix_pairs(written(left.select("node", "comp").distinct()), texts)
+        links = _confirm(pairs, shared, texts)
+        to = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))  # noqa: E731, B023
+        bridges = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+        labels = _relabelled(labels, components(bridges))
 
-    placed = written(postings.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp")))
-    sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = written(sizes.groupBy("value").agg(F.max(F.struct("m", "comp"))["comp"].alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps"))
-    open_ = written(placed.join(mixed, "value"))
-    left = open_.where("comp <> most").select("value", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
-    met = left.join(open_, "value").where("x_comp <> comp and (comp = most or x < node)")
-    more = met.select(*_ordered(F.col("x"), F.col("node"))).distinct().join(star, ["a", "b"], "left_anti")
-    late = _confirm(more, shared, docs)
-    to = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
-    bridges = late.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-    joined = components(bridges)
-
-    named = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
-    named = named.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left")
-    named = written(named.select("digest", F.coalesce("last", "comp").alias("component_id")))
+    named = written(classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")))
     out = signed.drop("signature").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
