@@ -39,7 +39,7 @@ SCALE, DECAY, TOXIC_WEIGHT = 40.0, 1e-4, 3.0
 #: Texts of the sample that must hold an n-gram for it to get a vector of its own; rarer ones count as neutral.
 LEAST_TEXTS = 3
 #: Rows of either label in the training sample, and the score from which a text counts as toxic.
-MOST_ROWS, THRESHOLD = 2000, 0.7
+MOST_ROWS, THRESHOLD = 1000, 0.7
 _CODES = np.random.Generator(np.random.PCG64(24)).integers(1, 1 << 63, (MOST_N, 256), dtype=np.uint64)
 #: Bytes by which n-grams are told apart: all that part words are one mark, A-Z are folded.
 _LETTER = np.where(wh.ALNUM, wh.FOLDED, 0).astype(np.uint8)
@@ -88,25 +88,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(SCALE * total / np.maximum(count, 1) + self.bias, -60, 60)))
 
 
+def _counted(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and share of the row's n-grams, for the distinct buckets of rows a to b."""
+    parts = [(row[valid] << BUCKET_BITS) | bucket[valid] for bucket, valid, row in grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+    key, count = np.unique(np.concatenate(parts), return_counts=True)
+    row = (key >> BUCKET_BITS).astype(np.int32)
+    share = count / np.bincount(row, count)[row]
+    return row + np.int32(a), (key & ((1 << BUCKET_BITS) - 1)).astype(np.int32), share.astype(np.float32)
+
+
 def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     """Learns vectors and weights jointly from texts and their labels (0 or 1)."""
     if not toxic.any() or toxic.all():
         return Model(np.zeros(1 << BUCKET_BITS), -60.0)
-    keys, counts = [], []
     data, offsets = wh.column(texts)
-    for a, b in wh.slices(offsets, 4 * wh.PIECE):
-        parts = [(row[valid] + a) << BUCKET_BITS | bucket[valid] for bucket, valid, row in grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-        k, n = np.unique(np.concatenate(parts), return_counts=True)
-        keys.append(k)
-        counts.append(n)
-    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.float64)
-    row, bucket = key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1)
-    share = count / np.bincount(row, count, len(toxic))[row]
-    used = np.flatnonzero(np.bincount(bucket, minlength=1 << BUCKET_BITS) >= LEAST_TEXTS)
-    place = np.full(1 << BUCKET_BITS, -1)
+    spans = list(wh.slices(offsets))
+    holders = np.zeros(1 << BUCKET_BITS, np.int64)
+    for span in spans:
+        holders += np.bincount(_counted(data, offsets, *span)[1], minlength=1 << BUCKET_BITS)
+    used = np.flatnonzero(holders >= LEAST_TEXTS)
+    place = np.full(1 << BUCKET_BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    common = place[bucket] >= 0
-    row, bucket, share = row[common], place[bucket[common]], share[common]
+    kept = []
+    for span in spans:
+        row, bucket, share = _counted(data, offsets, *span)
+        common = place[bucket] >= 0
+        kept.append((row[common], place[bucket[common]], share[common]))
     rng = np.random.Generator(np.random.PCG64(seed))
     vectors = rng.normal(0, 0.1, (len(used), DIMENSIONS))
     weights, bias = rng.normal(0, 0.5, (2, DIMENSIONS)), np.zeros(2)
@@ -116,9 +123,12 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
         across = weights[1] - weights[0]
-        logit = SCALE * np.bincount(row, share * (vectors @ across)[bucket], len(toxic)) + bias[1] - bias[0]
+        value = (vectors @ across).astype(np.float32)
+        # span by span, so that only one span's products are held at a time
+        logit = SCALE * sum(np.bincount(row, share * value[bucket], len(toxic)) for row, bucket, share in kept) + bias[1] - bias[0]
         error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - toxic) * importance
-        pull = SCALE * np.bincount(bucket, share * error[row], len(used))
+        missed = error.astype(np.float32)
+        pull = SCALE * sum(np.bincount(bucket, share * missed[row], len(used)) for row, bucket, share in kept)
         slope = pull @ vectors
         gradients = [pull[:, None] * across + DECAY * vectors, np.stack([-slope, slope]), np.array([-error.sum(), error.sum()])]
         for p, g, m, v in zip(params, gradients, means, squares, strict=True):
