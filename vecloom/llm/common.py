@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends the package to the Python workers where they could not import it from their path."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if "vecloom.zip" not in context._python_includes and not any(p and Path(p).resolve() == root for p in known):
+        folder = tempfile.mkdtemp()  # the driver serves the file itself
+        context.addPyFile(shutil.make_archive(f"{folder}/vecloom", "zip", root, "vecloom"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Local sessions that name none, as in tests, get their own."""
     known = spark.conf.get("spark.checkpoint.dir", None)

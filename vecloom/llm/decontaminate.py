@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm import wordhash as wh
-from vecloom.llm.common import written
+from vecloom.llm.common import shipped, written
 
 WINDOW_WORDS, GRAM = 10, 5
 #: Words of one broadcast block of the benchmark: about 100 bytes each in the index.
@@ -136,6 +136,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination_hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, which have a text column, with __hits (16 * place of a shared window's first word + its length in words)
     and __items (ids as strings, sorted) at the end, against benchmark (item_id, text)."""
+    shipped(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     # a word takes two bytes with what parts it from the next, so this bounds the words

@@ -20,7 +20,7 @@ from vecloom.llm.common import ascii_lower, let
 
 #: Rewrites on lower-case text, in order; regular expressions that Java and RE2 read alike.
 REWRITES = (
-    (r"(^|\n)[^\n\w]*(copyright|\(c\)|©)[^\n]*", "\n"),
+    (r"(^|\n)[^\n\w]*(copyright|\(c\)|©)[^\n]*(\(c\)|©|[0-9]{4})[^\n]*", "\n"),
     (r"(^|\n)[^\n\w]*all rights reserved[^\n\w]*", "\n"),
     (r"[‘’“”`´]", "'"),
     (r"licence", "license"),

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import wordhash as wh
-from vecloom.llm.common import written
+from vecloom.llm.common import shipped, written
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 48, 22
@@ -174,6 +174,7 @@ def _confirm(pairs: DataFrame, shared: DataFrame, texts: DataFrame) -> DataFrame
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of docs (doc_id, text)."""
+    shipped(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, signature array<long>"))
     posted = signed.where("digest is not null and doc_id is not null")

@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.llm.common import shipped
+
 #: Code points of a chunk, remembered pre-tokens and compiled states at most, tokens beyond which a text is long.
 CHUNK, REMEMBERED, STATES, LIMIT = 1 << 16, 400_000, 200_000, 512
 #: Fixed value: the pattern that splits text before the merges. White space is the Unicode property, as in the library.
@@ -177,6 +179,7 @@ _counters: dict[int, Counter] = {}
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of docs (doc_id, text). vocabulary: the text of a tokenizer file
     with a byte-level BPE model."""
+    shipped(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

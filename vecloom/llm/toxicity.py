@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm import wordhash as wh
+from vecloom.llm.common import shipped
 
 #: Least and greatest n-gram, log2 of the number of vectors, their dimensions, steps and size of a step.
 LEAST_N, MOST_N, BUCKET_BITS, DIMENSIONS, STEPS, RATE = 3, 6, 18, 8, 100, 0.05
@@ -151,6 +152,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """docs, which have a text column, with their scores."""
+    shipped(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
