@@ -171,7 +171,7 @@ WITH norm AS (SELECT 'd' AS side, row_number() OVER () AS rid, doc_id AS id, reg
 items AS (SELECT id, w, least(len(w), 10) AS l FROM norm WHERE side = 'b' AND len(w) > 0),
 bw AS (SELECT DISTINCT id, l, array_to_string(w[i:i + l - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM items)),
 docs AS (SELECT rid, id, w FROM norm WHERE side = 'd'),
-dw AS (SELECT rid, l, i, array_to_string(w[i:i + l - 1], ' ') AS s FROM (SELECT rid, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM docs, (SELECT DISTINCT l FROM items) WHERE len(w) >= l)),
+dw AS (SELECT rid, l, unnest(list_transform(range(1, len(w) - l + 2), lambda i: {'i': i, 's': array_to_string(w[i:i + l - 1], ' ')}), recursive := true) FROM docs, (SELECT DISTINCT l FROM items) WHERE len(w) >= l),
 hit AS (SELECT rid, dw.i, dw.l, bw.id FROM dw JOIN bw USING (l, s)),
 n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + l)) AS p FROM hit) GROUP BY rid),
 k AS (SELECT rid, count(DISTINCT id) AS n_items, string_agg(DISTINCT id::VARCHAR, ',' ORDER BY id::VARCHAR) AS ids FROM hit GROUP BY rid)

@@ -122,3 +122,27 @@ def taken_words(m: Mix) -> DataFrame:
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     return taken_words(m).join(m.sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _power_sql(x: str) -> str:
+    return f"(2 ** ceil(log2(greatest(floor({x}), 1))))::BIGINT"
+
+
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+OP5_SQL = f"""
+WITH z AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+n AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM z GROUP BY source),
+w AS (SELECT *, {list(WEIGHTS)}[(sid - 1) % {len(WEIGHTS)} + 1] AS weight, source_size * {MOST_PASSES} / {list(WEIGHTS)}[(sid - 1) % {len(WEIGHTS)} + 1] AS r FROM n),
+f AS (SELECT *, ((sum(source_size) OVER ()) * {SHARE_NUM} - coalesce(sum(source_size) OVER (ORDER BY r, sid {_BEFORE}), 0) * {MOST_PASSES * SHARE_DEN})::DOUBLE
+        / (((sum(weight) OVER ()) - coalesce(sum(weight) OVER (ORDER BY r, sid {_BEFORE}), 0)) * {SHARE_DEN})::DOUBLE AS level FROM w),
+c AS (SELECT arg_min(level, (r, sid)) AS common FROM f WHERE level <= r),
+t AS (SELECT sid, source, source_size, (CASE WHEN r <= common THEN source_size * {MOST_PASSES} ELSE weight * common END)::DOUBLE AS target FROM f, c),
+g AS (SELECT coalesce(sum(floor(target)), 0)::DOUBLE AS total, coalesce(min(floor(target)) FILTER (floor(target) > 0), 1)::DOUBLE AS least FROM t),
+s AS (SELECT least({_power_sql(f"greatest({LEAST_SLOTS} * total / least, total / {MOST_BLOCK}, 1)")}, greatest({_power_sql(f"total / {LEAST_BLOCK}")}, {_power_sql(f"total / {MOST_BLOCK}")})) AS slots, total::BIGINT AS total FROM g),
+o AS (SELECT t.*, ((sum(floor(target)::BIGINT) OVER (ORDER BY sid) * slots) // total - (coalesce(sum(floor(target)::BIGINT) OVER (ORDER BY sid {_BEFORE}), 0) * slots) // total)::BIGINT AS own FROM t, s),
+b AS (SELECT *, coalesce(greatest(ceil(own * (source_size / target)), ceil(own / {MOST_PASSES}), 1), 1)::BIGINT AS blocks FROM o),
+d AS (SELECT rid, doc_id, size, b.*, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size {_BEFORE}), 0)::BIGINT AS start FROM z JOIN b ON z.source IS NOT DISTINCT FROM b.source),
+k AS (SELECT rid, source_size, blocks, own, start, size, unnest(range(((start + 1) * blocks - 1) // source_size, ((start + size) * blocks - 1) // source_size + 1)) AS i FROM d WHERE size > 0),
+y AS (SELECT rid, sum((least((i + 1) * source_size // blocks, start + size) - greatest(i * source_size // blocks, start)) * (CASE WHEN i < own THEN (own - 1 - i) // blocks + 1 ELSE 0 END))::BIGINT AS taken FROM k GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM d LEFT JOIN y USING (rid)
+"""

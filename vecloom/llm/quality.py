@@ -136,8 +136,8 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t
 w AS (SELECT *, regexp_extract_all(t, '[^{blank}]+') AS words,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{blank}]')) AS lines,
         regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS plain FROM d),
-x AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 3),
-g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n FROM x),
+x AS (SELECT rid, unnest(list_transform(range(1, len(words) - 1), lambda i: {{'i': i, 'g': words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]}}), recursive := true) FROM w WHERE len(words) > 3),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM x),
 r AS (SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
 c AS (SELECT rid, doc_id, w.lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecloom.llm.decontaminate import OP3_SQL, op3_decontaminate
 from vecloom.llm.licenses import OP6_SQL, op6_license_scan
-from vecloom.llm.mixing import op5_mix_sources
+from vecloom.llm.mixing import OP5_SQL, op5_mix_sources
 from vecloom.llm.near_dup import OP10_SQL, op10_near_dup
 from vecloom.llm.quality import OP9_SQL, op9_quality
 from vecloom.llm.secrets import OP2_SQL, op2_secret_scan
@@ -38,6 +38,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": OP1_SQL,
         "op2_secret_scan": OP2_SQL,
         "op3_decontaminate": OP3_SQL,
+        "op5_mix_sources": OP5_SQL,
         "op6_license_scan": OP6_SQL,
         "op9_quality": OP9_SQL,
         "op10_near_dup": OP10_SQL,
