@@ -30,7 +30,7 @@ def compare():
         return sorted(repr(tuple(round(v[i], 9) if isinstance(v[i], float) else v[i] for i in order)) for v in values)
 
     def check(df, sql, folder):
-        con = duckdb.connect()
+        con = duckdb.connect(config={"memory_limit": "8GB"})
         for path in Path(folder).glob("*.parquet"):
             files = f"{path}/*.parquet" if path.is_dir() else str(path)
             con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{files}')")

@@ -1,0 +1,20 @@
+"""Every query of the engine against its SQL."""
+
+import pytest
+
+from vecloom.queries import oracle_sql, queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_its_sql(spark, compare, name):
+    compare(queries()[name](spark, FOLDER), oracle_sql()[name], FOLDER)
+
+
+def test_entry_and_queries_without_sql(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+    for name in sorted(queries().keys() - oracle_sql().keys()):
+        assert queries()[name](spark, FOLDER).count() > 0

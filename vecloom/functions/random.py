@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vecloom.functions.vector import let
+
 
 def gaussian(mean: float, deviation: float, seed: int) -> Column:
     return F.randn(seed) * deviation + mean
@@ -30,6 +32,7 @@ def zipf(low: float, high: float, exponent: float, seed: int, values: int = 100)
     for s in shares:
         total += s / sum(shares)
         edges.append(total)
-    at = F.rand(seed)
-    below = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= at))
+    known = F.array(*map(F.lit, edges))
+    # bound once: a random column inside the filter would be drawn anew for every edge
+    below = let(F.rand(seed), lambda at: F.size(F.filter(known, lambda e: e <= at)))
     return F.lit(low) + F.least(below, F.lit(values - 1)) * ((high - low) / values)
