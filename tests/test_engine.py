@@ -238,3 +238,15 @@ def test_random_columns(spark):
     s = row.agg(F.avg("g").alias("g"), F.min("u").alias("low"), F.max("u").alias("high"), F.avg((F.col("z") == 0).cast("int")).alias("z"), F.max("d").alias("d"), F.min("b").alias("b")).first()
     assert abs(s.g - 5) < 0.1 and -1 <= s.low < s.high < 1 and s.d <= 999 and s.b >= 10
     assert abs(s.z - 1 / sum(1 / i for i in range(1, 101))) < 0.02
+
+
+def test_streamed_batches_get_the_same_answers(spark, grid, tmp_path):
+    from vecloom.streaming import answer_stream
+
+    asked = spark.createDataFrame([(0, [1, 1]), (1, [9, 1])], "qid int, coords array<int>")
+    built = engine.build(grid, LshConfig(k=2), asked)
+    asked.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(asked.schema).parquet(f"{tmp_path}/in")
+    answer_stream(stream, built, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
+    found = sorted((r.qid, r["rank"], r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert found == sorted((r.qid, r["rank"], r.id) for r in engine.search(built, asked).collect()) and found
