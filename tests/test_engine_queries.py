@@ -18,3 +18,14 @@ def test_entry_and_queries_without_sql(spark):
     assert __spark_entry__.entry(spark).count() > 0
     for name in sorted(queries().keys() - oracle_sql().keys()):
         assert queries()[name](spark, FOLDER).count() > 0
+
+
+def test_derived_searches_follow_the_number_of_points_and_find_more(spark):
+    """More of the exact nearest than with fixed parameters, in every search, and no ratio below 1."""
+    known = queries()
+    truth = {(r.qid, r.id): r.dist for r in known["exact_knn"](spark, FOLDER).collect()}
+    for name in ("search_partitioned_complete", "search_partitioned_strict", "search_iteratively"):
+        fixed, derived = ({(r.qid, r.id) for r in known[n](spark, FOLDER).collect()} for n in (name, f"{name}_derived"))
+        assert len(derived & truth.keys()) > len(fixed & truth.keys())
+    assert all(r.valid for r in known["eval_ratio_derived"](spark, FOLDER).collect())
+    assert known["eval_missed_derived"](spark, FOLDER).first().average_ratio >= 1

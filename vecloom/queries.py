@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,14 @@ from vecloom.functions import formulas, random, vector
 from vecloom.operators import candidates, index, neighbours
 from vecloom.operators.params import make_params, params_sql, params_table
 from vecloom.operators.stats import radius_ladder, statistics
+from vecloom.plans.engine import build_and_search
 from vecloom.plans.iterative import merge_state, search_iterative, unfinished
 from vecloom.plans.partitioned import search_partitioned
 from vecloom.sources import tables, text
 
 CONFIG = LshConfig(k=10, ratio=2, query_count=50, partitions=3, blocks=2, seed=1)
-#: Parameters that do not depend on the data, so that SQL can state them: 64 dimensions, coordinates up to 64.
+#: Parameters that do not depend on the data, so that SQL can state them: 64 dimensions, coordinates up to 64. Queries
+#: named ..._derived search and evaluate with parameters that follow from the data instead.
 ONE = [make_params(0, 64, 64, 6, 5, CONFIG.seed)]
 PARTS = [make_params(p, 64, 64, 4, 4, CONFIG.seed) for p in range(CONFIG.partitions)]
 RADII = [2**i for i in range(9)]
@@ -337,6 +340,27 @@ def search_iteratively(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search_iterative(_hits(spark, sf_dir), points(spark, sf_dir), asked(spark, sf_dir), CONFIG.k, CONFIG.ratio, B1, RADII)[0])
 
 
+def _derived(spark: SparkSession, sf_dir: str, **how: bool) -> DataFrame:
+    """A search whose projections, tables, budget and radii follow from the tables themselves, so that no SQL states them."""
+    config = replace(CONFIG, partitions=1) if how.get("iterative") else CONFIG
+    return build_and_search(points(spark, sf_dir), asked(spark, sf_dir), config, **how)
+
+
+@query()
+def search_partitioned_complete_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_derived(spark, sf_dir))
+
+
+@query()
+def search_partitioned_strict_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_derived(spark, sf_dir, strict=True))
+
+
+@query()
+def search_iteratively_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_derived(spark, sf_dir, iterative=True))
+
+
 def _two_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = None
     for i in (5, 6):
@@ -365,9 +389,9 @@ FOUND = _partitioned_sql(False).rsplit("SELECT qid, rank", 1)[0]
 RATIO = f"{FOUND}, {ALL.replace('x AS', 'g AS')}, r AS (SELECT q.qid, count(x.rank) AS found, avg(CASE WHEN x.dist = 0 AND g.dist = 0 THEN 1.0 WHEN g.dist > 0 THEN x.dist / g.dist END) AS ratio FROM q LEFT JOIN (SELECT * FROM x WHERE rank <= 10) x ON x.qid = q.qid LEFT JOIN g ON g.qid = x.qid AND g.rank = x.rank GROUP BY q.qid)"
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, search: Callable[[SparkSession, str], DataFrame] = lambda spark, sf_dir: _partitioned(spark, sf_dir, False)) -> DataFrame:
     truth = neighbours.exact_neighbours(points(spark, sf_dir), asked(spark, sf_dir), CONFIG.k)
-    return neighbours.ratios(_partitioned(spark, sf_dir, False), truth, CONFIG.query_count)
+    return neighbours.ratios(search(spark, sf_dir), truth, CONFIG.query_count)
 
 
 @query(f"{RATIO} SELECT qid, found, round(ratio, 6) AS ratio, (ratio IS NULL OR ratio > 1 OR abs(ratio - 1) < 1e-5) AS valid FROM r")
@@ -380,6 +404,16 @@ def eval_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.summary(_scored(spark, sf_dir), CONFIG.k, CONFIG.query_count).select(F.round("average_ratio", 6).alias("average_ratio"), "missed")
 
 
+@query()
+def eval_ratio_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, _derived).select("qid", "found", F.round("ratio", 6).alias("ratio"), "valid")
+
+
+@query()
+def eval_missed_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.summary(_scored(spark, sf_dir, _derived), CONFIG.k, CONFIG.query_count).select(F.round("average_ratio", 6).alias("average_ratio"), "missed")
+
+
 SQUARES = f"d AS (SELECT qid, id, p.coords AS coords, list_sum(list_transform(range(1, 65), lambda i: (p.coords[i] - q.coords[i])::BIGINT * (p.coords[i] - q.coords[i])))::BIGINT AS dist FROM p, q), x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d)"
 
 
