@@ -87,6 +87,19 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
     assert sorted(map(repr, taken)) == sorted(map(repr, again))
 
 
+def test_small_sources_get_their_exact_words_beside_millions(spark):
+    sizes = {"a": 2_000_000, "b": 5, "c": 3_000_000, "d": 20, "e": 50, "f": 1_000_000, "g": 200, None: 7}
+    rows = [(f"{s}{i}", "w " * (n // 10 if n >= 1000 else 5), s) for s, n in sizes.items() for i in range(10 if n >= 1000 else n // 5)]
+    rows.append(("rest", "w w", None))
+    m = mixing.mix(docs_of(spark, rows, "doc_id string, text string, source string"))
+    taken, slots = mixing.taken_words(m).collect(), {r.sid: r["count"] for r in m.schedule.groupBy("sid").count().collect()}
+    assert len(taken) == len(rows) and all(0 <= x.taken <= 2 * x.size for x in taken)
+    for s in m.sources.collect():
+        got = sum(x.taken for x in taken if x.sid == s.sid)
+        assert slots[s.sid] == s.last - s.first >= 1
+        assert got == int(s.target) if s.source_size < 1000 else abs(got - s.target) <= 0.001 * s.target
+
+
 def filled(sizes, weights):
     """Targets by resharing the excess until none is above its cap."""
     total, capped = 1.5 * sum(sizes), set()

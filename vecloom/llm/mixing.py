@@ -6,6 +6,10 @@ source in proportion. Slots are ranked per source. A source's documents, shuffle
 form one stream of words that is cut into blocks of equal numbers of words; the slot of rank r takes block
 r mod blocks. Documents join the ranked slots on (source, block). Built-in column functions only.
 
+Blocks are too coarse for a source with few slots. One with fewer than FEW_SLOTS is not cut into blocks: its slots,
+one at least, share its target's whole words evenly, in the order of its stream, which starts again at its end. It
+gets exactly the floor of its target. A source too small to own a point shares the slot of the point at its place.
+
 Ranks and stream offsets are running sums over bounded groups (common.running_sum), so a source that holds a
 third of all rows is no single task. One row per source passes through one ordered window.
 
@@ -28,12 +32,16 @@ from vecloom.llm.common import BLANKS, GROUP_ROWS, running_sum, spread, written
 WEIGHTS, SHARE_NUM, SHARE_DEN, MOST_PASSES = (5, 2, 1), 3, 2, 2
 #: Slots that the smallest target gets, words of a block at least and at most. The number of slots follows.
 LEAST_SLOTS, LEAST_BLOCK, MOST_BLOCK = 1024, 64, 65536
+#: Slots below which a source is not cut into blocks: a slot more or less would be over a thirtieth of its target.
+FEW_SLOTS = 32
 
 
 @dataclass(frozen=True)
 class Mix:
     """docs: doc_id, sid, size, start (its place in the source's stream). sources: sid, source, source_size,
-    target, blocks, first and last (the points it owns). schedule: slot, sid, rank, block, epoch."""
+    target, blocks, first and last (the points it owns or shares), few (slots, so no blocks) and words (whole words of
+    the target). schedule: slot, sid, rank, block, epoch; for a source of few slots the slot of rank r takes words
+    r * words div blocks to (r + 1) * words div blocks of its repeated stream, blocks being its number of slots."""
 
     docs: DataFrame
     sources: DataFrame
@@ -93,8 +101,11 @@ def mix(docs: DataFrame) -> Mix:
     total, least = sources.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.min(F.when(F.col("words") > 0, F.col("words"))), F.lit(1))).first()
     slots = min(_power_of_two(max(LEAST_SLOTS * total / least, total / MOST_BLOCK, 1)), max(_power_of_two(total / LEAST_BLOCK), _power_of_two(total / MOST_BLOCK), 1))
     own = {"first": F.expr(f"cast(coalesce((cast(past - words as decimal(19,0)) * {slots}) div nullif(all, 0), 0) as bigint)"), "last": F.expr(f"cast(coalesce((cast(past as decimal(19,0)) * {slots}) div nullif(all, 0), 0) as bigint)")}
+    own["last"] = F.greatest(own["last"], F.when(F.col("words") > 0, own["first"] + 1).otherwise(own["first"]))
+    few = (F.col("words") > 0) & (F.col("last") - F.col("first") < FEW_SLOTS)
     blocks = F.greatest(F.ceil((F.col("last") - F.col("first")) * (F.col("source_size") / F.col("target"))), F.ceil((F.col("last") - F.col("first")) / MOST_PASSES), F.lit(1))
-    sources = sources.withColumns(own).withColumn("blocks", F.coalesce(blocks, F.lit(1)).cast("long")).select("sid", "source", "source_size", "target", "n_docs", "blocks", "first", "last")
+    sources = sources.withColumns(own).withColumn("few", few).withColumn("blocks", F.when(F.col("few"), F.col("last") - F.col("first")).otherwise(F.coalesce(blocks, F.lit(1))).cast("long"))
+    sources = sources.select("sid", "source", "source_size", "target", "n_docs", "blocks", "first", "last", "few", "words")
     plan = schedule(sources, slots).join(sources.select("sid", "blocks"), "sid")
     plan = plan.select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -107,16 +118,19 @@ def mix(docs: DataFrame) -> Mix:
 
 def taken_words(m: Mix) -> DataFrame:
     """doc_id, sid, size, start and taken: the words of each document that the slots' blocks take, and repeats."""
-    by = m.sources.select("sid", "source_size", "blocks")
+    by = m.sources.select("sid", "source_size", "blocks", "few", "words")
     at = "cast((cast({} as decimal(19,0)) * blocks {}) div source_size as bigint)"
     first, last = F.expr(at.format("start + 1", "- 1")), F.expr(at.format("start + size", "- 1"))
-    held = m.docs.where("size > 0").join(by, "sid").withColumn("block", F.explode(F.sequence(first, last)))
+    placed = m.docs.where("size > 0").join(by, "sid")
+    rest = F.least(F.greatest(F.expr("words % source_size") - F.col("start"), F.lit(0)), F.col("size"))
+    whole = placed.where("few").select("doc_id", "sid", "size", "start", (F.expr("words div source_size") * F.col("size") + rest).alias("taken"))
+    held = placed.where("not few").drop("few", "words").withColumn("block", F.explode(F.sequence(first, last)))
     edge = "cast((cast({} as decimal(19,0)) * source_size) div blocks as bigint)"
     overlap = F.least(F.expr(edge.format("block + 1")), F.col("start") + F.col("size")) - F.greatest(F.expr(edge.format("block")), F.col("start"))
     taken = m.schedule.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     rows = held.withColumn("words", overlap).join(taken, ["sid", "block"], "left")
     some = rows.groupBy("doc_id", "sid", "size", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-    return some.unionByName(m.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    return some.unionByName(whole).unionByName(m.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
