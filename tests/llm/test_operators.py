@@ -4,7 +4,9 @@ import bisect
 import itertools
 import random
 import re
+import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -271,3 +273,16 @@ def test_whole_licences_are_found_whatever_their_form(spark):
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.replace(" ", "\n").upper()), (2, mit + " and more"), (3, mit.replace("sublicense", "sub-license")), (4, "Copyright 2020")]
     found = {r.doc_id: r.license for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
     assert found == {1: "MIT", 2: None, 3: "MIT", 4: None}
+
+
+def test_licences_are_found_as_published(spark):
+    own = {f.stem: f.read_text(encoding="utf-8") for f in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    mit = textwrap.fill(next(t for n, t in licenses.KNOWN if n == "MIT"), 78)
+    bsd = own["BSD-2-Clause"].replace("THIS SOFTWARE IS", "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS", 1)
+    texts = [(n, t) for n, t in own.items()]
+    texts += [("MIT", f"{title}\n\nCopyright (c) 2020 Someone\n\n{mit}\n") for title in ("MIT License", "The MIT License (MIT)")]
+    texts += [("MIT", f"MIT License\n\nCopyright Foo contributors.\n\n{mit}"), ("MIT", f"Copyright Foo contributors.\n{mit}"), (None, f"{mit}\nand more"), (None, "MIT License"), (None, "Copyright Foo\n")]
+    texts += [("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2021, Someone\nAll rights reserved.\n\n{bsd}")]
+    texts += [("Apache-2.0", own["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2019 Someone")), ("Apache-2.0", own["Apache-2.0"].split("   APPENDIX")[0])]
+    found = {r.doc_id: r.license for r in licenses.scan_licenses(docs_of(spark, [(i, t) for i, (_, t) in enumerate(texts)])).collect()}
+    assert [found[i] for i in range(len(texts))] == [n for n, _ in texts]

@@ -3,8 +3,10 @@
 A text is brought to a canonical form (case, punctuation, white space, copyright lines and equivalent spellings
 made alike) and its SHA-256 is looked up among the digests of known licence texts in the same form. The lookup
 takes entire texts: the whole document, and each of its lines as a text of its own, which finds notices inside
-other matter. Built-in column functions only; the known digests are as many as the list given, and stand in the
-plan, so nothing is shuffled.
+other matter. Whole licences are known as published, with the title lines that files carry and without; a document
+that starts with copyright lines of neither year nor sign, after a title or not, is looked up without them too.
+Built-in column functions only; the known digests are as many as the list given, and stand in the plan, so nothing
+is shuffled.
 
 Defined results: null and empty texts, and texts of copyright lines alone, match nothing. Of several known texts
 with one canonical form the least name is reported. Repeated rows are judged alike, an empty table gives an empty
@@ -13,6 +15,9 @@ result, extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import cache
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +55,41 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
 )
 
+#: Title lines of licence files whose known text starts after them.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The 2-Clause BSD License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License", "BSD License", "The BSD License"),
+    "ISC": ("ISC License", "ISC License (ISC)", "The ISC License", "The ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: A title, if any, and after it copyright lines at the start of a document.
+HEAD = r"^(\W*+(?:[^\n]{0,80}(?i:licen[sc]e|bsd)[^\n]{0,80}\n\W*+)?)(?:(?i:copyright)\b[^\n]*\n\W*+)+"
+
+
+@cache
+def published() -> tuple[tuple[str, str], ...]:
+    """Whole licences in the forms in which files carry them. The texts of license_texts are named by licence."""
+    own = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files("vecloom.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+    bodies = [(name, text) for name, text in KNOWN if name in TITLES and len(text) > 200] + list(own.items())
+    two = own["BSD-2-Clause"]
+    for holder in ("the copyright holder", "copyright holder", "the copyright holders", "the University", "the author", "the organization", "the <organization>", "[project]"):
+        third = f"3. Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS"
+        bodies.append(("BSD-3-Clause", two.replace("THIS SOFTWARE IS", third, 1)))
+    bodies += [(name, text.replace("\n1. ", "\n").replace("\n2. ", "\n").replace("\n3. ", "\n")) for name, text in bodies if name.startswith("BSD")]
+    regents = lambda text: text.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "THE REGENTS OR CONTRIBUTORS")
+    bodies += [(name, regents(text)) for name, text in bodies if name.startswith("BSD")]
+    apache = own["Apache-2.0"]
+    bodies.append(("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "")))  # filled in, the line has a year
+    bodies.append(("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "{yyyy} {name of copyright owner}")))
+    ending = "END OF TERMS AND CONDITIONS"
+    for name, text in own.items():
+        if ending in text:
+            before = text[: text.index(ending)]
+            bodies += [(name, before), (name, before + ending)]
+    return tuple(bodies) + tuple((name, f"{title}\n\n{text}") for name, text in bodies for title in TITLES.get(name, ()))
+
 
 def canonical(text: Column) -> Column:
     out = ascii_lower(F.coalesce(text, F.lit("")))
@@ -64,16 +104,17 @@ def known_digests(spark: SparkSession, known=KNOWN) -> dict[str, str]:
     return {r[0]: r[1] for r in texts.where("text <> ''").groupBy(F.sha2("text", 256)).agg(F.min("name")).collect()}
 
 
-def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan_licenses(docs: DataFrame, known=None) -> DataFrame:
     """doc_id, text_sha256 (of the canonical text), license (of the whole text, or null) and line_licenses (names
-    found on single lines, sorted) of docs (doc_id, text)."""
-    digests = known_digests(docs.sparkSession, known)
+    found on single lines, sorted) of docs (doc_id, text). known: if not given, KNOWN and published()."""
+    digests = known_digests(docs.sparkSession, (*KNOWN, *published()) if known is None else known)
     names = F.create_map(*[F.lit(x) for pair in sorted(digests.items()) for x in pair]) if digests else F.create_map().cast("map<string,string>")
     looked_up = lambda text: F.try_element_at(names, F.sha2(canonical(text), 256))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     found = let(F.transform(lines, looked_up), lambda x: F.array_sort(F.array_distinct(F.filter(x, lambda n: n.isNotNull()))))
-    df = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_sha256"), F.array_join(found, ",").alias("line_licenses"))
-    return df.select("doc_id", "text_sha256", F.try_element_at(names, "text_sha256").alias("license"), "line_licenses")
+    headless = F.when(F.col("text").rlike(HEAD), looked_up(F.regexp_replace("text", HEAD, "$1")))
+    df = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_sha256"), F.array_join(found, ",").alias("line_licenses"), headless.alias("headless"))
+    return df.select("doc_id", "text_sha256", F.coalesce(F.try_element_at(names, "text_sha256"), "headless").alias("license"), "line_licenses")
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
