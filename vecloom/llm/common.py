@@ -57,13 +57,22 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def written(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing. The table goes
+    when it is released, or with the session's Python."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later plan reads."""
+    for df in tables:
+        _drop(df.sparkSession, df._written)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -74,6 +83,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if it has no more than so many rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Adds out: the sum of value over the earlier rows of the same keys, in the order of levels and then of order.
 

@@ -8,23 +8,28 @@ collide in at least MATCHES coordinates:
   meet within the first COORDINATES - MATCHES + 1 values of both, so only those are posted.
 * Skip: values that a single class holds can meet nothing; they use up the prefix without being posted, and a
   class with fewer than MATCHES shared values is skipped as a whole.
-* Count: for each pair that meets, all collisions are counted, and pairs below MATCHES go.
+* Count: for each pair that meets, all collisions are counted, and pairs below MATCHES go. So do pairs whose sketches
+  (one byte for each of BINS bins of the hash space, that of the bin's least hash) are further apart than chance
+  allows for sets as similar as PERCENT.
 
-Links are then confirmed on the full shingle sets. At a similarity of 0.75 the chance to miss MATCHES of
-COORDINATES collisions is 4e-6 for a pair, and less for closer ones.
+Links are then confirmed on the full sets of shingle hashes. At a similarity of 0.75 the chance to miss MATCHES of
+COORDINATES collisions is 4e-6 for a pair, that to fail the sketches 4e-6, and less for closer pairs.
 
-Groups of thousands of near copies are not expanded into all pairs. Each posting list is first compared with its
-most connected class alone; what links to it is in one component and needs no further comparison inside. Classes
-left in another component than most of their list then meet one other member of that component in each of their
-lists, drawn by a digest, for TURNS turns; a class with many links finds one soon. Lists that still hold several
-components are then compared across these in full, by an exact prefix filter on the shingles themselves
-(_prefix_pairs), so that no link between components is lost. It keeps apart what shares much but not enough, such
-as heavily edited copies, without forming their pairs. Components come from repeated contraction of the links to their lesser end. All
-intermediate tables are written to the shared folder.
+Groups of thousands of near copies are not expanded into all pairs; what is in one component needs no further
+comparison. First each class meets one class alone: the most connected one (the pivot) of most of its lists. Then it
+meets the pivots of its lists that are still in other components. Lists that hold several components even then are
+compared in blocks of at most BLOCK classes: those outside the list's largest component with each other and with that
+component's. Only pairs of different components, of fitting sizes and sketches leave a block. Each class confirms its
+likeliest pair first, and then all pairs that still lead to another component, so no link between components is lost.
+
+Components come from contraction: each node points to its least neighbour, pointers are followed to their ends by
+doubling, and links between the ends remain. Both loops are logarithmic, also for long chains of versions. A class that
+a third of all pairs name is spread over several keys before the sets are joined. All intermediate tables are written
+to the shared folder, and deleted after their last reader.
 
 Defined results: texts without words, and nulls, have no shingles and are linked with nothing. A null doc_id is
-linked with nothing, has a null component_id and is kept. Rows that share a doc_id count as one document. Empty
-tables give empty results, extra columns are ignored.
+linked with nothing, has a null component_id and is kept. Rows that share a doc_id count as one document, linked by any
+of its texts; repeated rows count once. Empty tables give empty results, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,12 +43,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import wordhash as wh
-from vecloom.llm.common import shipped, written
+from vecloom.llm.common import released, shipped, written
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 48, 22
-#: Turns in which classes left apart meet drawn members of their lists, before all that remain are compared.
-TURNS = 1
+#: Bins of a sketch, and by how many standard deviations a pair's equal bins may fall short of what PERCENT expects.
+BINS, SLACK = 256, 4.5
+#: Classes of one side of a block, pairs compared at once, and pairs of one class under one key.
+BLOCK, PAIRS, KEY_PAIRS = 2048, 1 << 17, 2000
+#: Keys with more pairs than that, as rows of a broadcast.
+MOST_BUSY = 200_000
 _U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(22)).integers(1, 1 << 64, COORDINATES, dtype=np.uint64) | _U(1)
 _MARKS = np.random.Generator(np.random.PCG64(23)).integers(1, 1 << 64, COORDINATES, dtype=np.uint64)
@@ -65,6 +74,23 @@ def shingles(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return kept, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """For each bin, by the top byte, a byte from 1 to 255 of the least hash in it, or 0: of sorted distinct hashes."""
+    bins = (own >> _U(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out = np.zeros(BINS, np.uint8)
+    out[bins[first]] = own[first] % _U(255) + _U(1)
+    return out.tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of sketches may be of similar enough sets, and their estimated similarity in thousandths."""
+    held = np.count_nonzero(a | b, axis=1)
+    equal = np.count_nonzero((a == b) & (a > 0), axis=1)
+    share = PERCENT / 100
+    return equal >= share * held - SLACK * np.sqrt(share * (1 - share) * held), 1000 * equal // np.maximum(held, 1)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, places = wh.column(batch.column("text"))
@@ -76,57 +102,88 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(COORDINATES):
                     tokens[:, k] = np.minimum.reduceat(found * _FACTORS[k], offsets[full])
                 tokens = wh.mixed(tokens ^ _MARKS)
-            n, digest = np.zeros(b - a, np.int64), [None] * (b - a)
+            n, digest, sketches = np.zeros(b - a, np.int64), [None] * (b - a), [None] * (b - a)
             for r in full:
                 own = np.unique(found[offsets[r] : offsets[r + 1]])
-                n[r], digest[r] = len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                n[r], digest[r], sketches[r] = len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), sketch(own)
             ends = np.zeros(b - a + 1, np.int32)
             ends[1:] = np.cumsum(np.where(np.diff(offsets) > 0, COORDINATES, 0))
             signature = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(digest, pa.binary()), signature], names=["doc_id", "n_shingles", "digest", "signature"])
+            columns = [batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(digest, pa.binary()), signature, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "signature", "sketch"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = np.zeros(batch.num_rows, bool)
-        sides = [wh.column(batch.column(name)) for name in ("text_a", "text_b")]
-        for i, j in wh.slices(sides[0][1] + sides[1][1]):
-            (fa, oa), (fb, ob) = (shingles(data[places[i] : places[j]], places[i : j + 1] - places[i]) for data, places in sides)
-            for r in range(j - i):
-                x, y = np.unique(fa[oa[r] : oa[r + 1]]), np.unique(fb[ob[r] : ob[r + 1]])
-                if len(x) and 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
-                    both = np.sort(np.concatenate([x, y]), kind="stable")
-                    common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    linked[i + r] = 100 * common >= PERCENT * (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked)) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted shingle hashes of every row, as bytes."""
     for batch in batches:
         data, places = wh.column(batch.column("text"))
-        nodes = batch.column("node").to_numpy()
         for a, b in wh.slices(places):
             found, offsets = shingles(data[places[a] : places[b]], places[a : b + 1] - places[a])
-            own = [np.unique(found[offsets[r] : offsets[r + 1]]) for r in range(b - a)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[a:b], [len(x) for x in own])), pa.array(np.concatenate(own).view(np.int64))], names=["node", "hash"])
-
-
-def _prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes (node, comp) in different components that may be similar enough, by their rarest
-    shingles. Shingles are ordered by how many of the nodes hold them. Sets as similar as PERCENT must share one of
-    their first ones, and at the first that they share, at places i and j, no more than 1 + min(n - i - 1, m - j - 1)
-    shingles can be common. Nothing that is similar enough is lost."""
-    held = texts.join(nodes, "node", "left_semi").mapInArrow(_hashes, "node long, hash long").distinct()
-    held = written(held)
-    shared = held.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    n = held.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    lists = held.join(shared, "hash").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("own")).join(n, "node").join(nodes, "node")
-    alone = (F.col("n") - F.size("own")).cast("int")  # shingles of this node only come first, and meet nothing
-    first = F.greatest(F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1 - alone, F.lit(0))
-    posted = written(lists.select("node", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), first)).alias("at", "s")).select("node", "comp", "n", "s.hash", (F.col("n") - F.col("at") - F.col("alone")).alias("rest")))
-    x = posted.select("hash", F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("rest").alias("x_rest"))
-    met = x.join(posted, "hash").where(f"x < node and x_comp <> comp and least(rest, x_rest) * {100 + PERCENT} >= {PERCENT} * (n + x_n)")
-    return met.select(F.col("x").alias("a"), F.col("node").alias("b")).distinct()
+            own = [np.unique(found[offsets[r] : offsets[r + 1]]).tobytes() for r in range(b - a)]
+            digest = [hashlib.blake2b(x, digest_size=16).digest() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(digest, pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "digest", "own"])
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = alike(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")))[0]
+        yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(ok)) for x in ("a", "b")], names=["a", "b"])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        linked = np.zeros(batch.num_rows, bool)
+        for r, (x, y) in enumerate(zip(batch.column("own_a"), batch.column("own_b"), strict=True)):
+            x, y = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
+            if len(x) and 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                linked[r] = 100 * common >= PERCENT * (len(x) + len(y) - common)
+        yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(linked)) for x in ("a", "b")], names=["a", "b"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The likely pairs of the blocks, whose rows follow each other in the order of value, i, j and side."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pa.concat_batches([held, batch])
+        keys = np.stack([held.column(x).to_numpy() for x in ("value", "i", "j")])
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+        if starts[-1]:  # the last block may go on
+            yield from _block_pairs(held.slice(0, int(starts[-1])), keys[:, : starts[-1]], starts[:-1])
+            held = held.slice(int(starts[-1]))
+    if held is not None and held.num_rows:
+        keys = np.stack([held.column(x).to_numpy() for x in ("value", "i", "j")])
+        yield from _block_pairs(held, keys, np.zeros(1, np.int64))
+
+
+def _block_pairs(rows: pa.RecordBatch, keys: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    n_rows = rows.num_rows
+    node, comp, n, side = (rows.column(x).to_numpy() for x in ("node", "comp", "n", "side"))
+    sketches, sizes = _sketches(rows.column("sketch")), np.diff(np.append(starts, n_rows))
+    end = np.repeat(starts + sizes, sizes)
+    middle = np.repeat(starts + np.add.reduceat(1 - side, starts), sizes)
+    same = keys[1] == keys[2]
+    first = np.where(same, np.arange(n_rows) + 1, middle)
+    count = np.where(side == 0, end - first, 0)
+    past = np.cumsum(count)
+    at = 0
+    while at < n_rows:
+        stop = max(at + 1, int(np.searchsorted(past, past[at] - count[at] + PAIRS, "right")))
+        many = count[at:stop]
+        x = np.repeat(np.arange(at, stop), many)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at:stop], many)
+        fit = (comp[x] != comp[y]) & (node[x] != node[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+        x, y = x[fit], y[fit]
+        if len(x):
+            ok, estimate = alike(sketches[x], sketches[y])
+            a, b = node[x[ok]], node[y[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(estimate[ok].astype(np.int32))], names=["a", "b", "estimate"])
+        at = stop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -135,15 +192,29 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links.where("a <> b").distinct())
     while not links.isEmpty():
         ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a"))
-        least = written(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("least")))
+        roots = written(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+        while True:  # each pass makes the way to the end three times as short
+            up = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_up"))  # noqa: E731, B023
+            higher = roots.join(up("root"), "root").withColumnRenamed("root_up", "next").join(up("next"), "next")
+            higher = written(higher.select("node", F.col("next_up").alias("root"), (F.col("next_up") != F.col("next")).alias("moved")))
+            settled = higher.where("moved").isEmpty()
+            released(roots)
+            roots = higher
+            if settled:
+                break
         if labels is None:
-            labels = least.withColumnRenamed("least", "comp")
+            labels = written(roots.select("node", F.col("root").alias("comp")))
         else:
-            labels = written(labels.join(least.select(F.col("node").alias("comp"), "least"), "comp", "left").select("node", F.coalesce("least", "comp").alias("comp")))
-        to = lambda end: least.select(F.col("node").alias(end), F.col("least").alias(f"{end}_least"))  # noqa: E731, B023
-        moved = links.join(to("a"), "a").join(to("b"), "b").select(F.col("a_least").alias("a"), F.col("b_least").alias("b"))
-        links = written(moved.where("a <> b").distinct())
-    return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+            before, labels = labels, written(labels.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+            released(before)
+        to = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))  # noqa: E731, B023
+        moved = links.join(to("a"), "a").join(to("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        before, links = links, written(moved.where("a <> b").distinct())
+        released(before, roots)
+    if labels is None:
+        labels = written(links.select(F.col("a").alias("node"), F.col("b").alias("comp")))
+    released(links)
+    return labels
 
 
 def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
@@ -152,62 +223,128 @@ def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
     return written(moved.select("node", F.coalesce("last", "comp").alias("comp")).unionByName(joined.join(labels, "node", "left_anti")))
 
 
-def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """value, node, comp and most (the component of most classes) of the lists that hold several components."""
-    placed = written(postings.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp")))
-    sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"))
-    several = written(sizes.groupBy("value").agg(F.max(F.struct("m", "comp"))["comp"].alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps"))
-    return written(placed.join(several, "value"))
-
-
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _confirm(pairs: DataFrame, shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with enough collisions whose full shingle sets are similar enough."""
-    to = lambda end: shared.select(F.col("node").alias(end), F.col("shared").alias(f"of_{end}"))
-    collided = pairs.join(to("a"), "a").join(to("b"), "b").where(F.size(F.array_intersect("of_a", "of_b")) >= MATCHES).select("a", "b")
-    text = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
-    return written(collided.join(text("a"), "a").join(text("b"), "b").mapInArrow(_confirmed, "a long, b long").distinct())
+def _beside(pairs: DataFrame, table: DataFrame, end: str, other: str) -> DataFrame:
+    """pairs with the columns of table (node, ...) for one end. A node that many pairs name is one key for every
+    KEY_PAIRS of them, and its row of the table is copied as often."""
+    own = [F.col(c).alias(f"{c}_{end}") for c in table.columns if c != "node"]
+    busy = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("named")).where(F.col("named") > KEY_PAIRS)
+    n = busy.limit(MOST_BUSY + 1).count()
+    if not n:
+        return pairs.join(table.select(F.col("node").alias(end), *own), end)
+    busy = busy.select(end, F.ceil(F.col("named") / KEY_PAIRS).cast("int").alias("ways"))
+    busy = F.broadcast(busy) if n <= MOST_BUSY else busy
+    ways = F.coalesce("ways", F.lit(1))
+    copies = table.withColumnRenamed("node", end).join(busy, end, "left").withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1)))
+    spread = pairs.join(busy, end, "left").withColumn("way", F.pmod(F.xxhash64(other), ways).cast("int")).drop("ways")
+    return spread.join(copies.select(end, "way", *own), [end, "way"]).drop("way")
+
+
+def _confirm(pairs: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with enough collisions and near enough sketches whose full shingle sets are similar enough."""
+    pairs = written(pairs)
+    met = _beside(_beside(pairs, profiles, "b", "a"), profiles, "a", "b").where(F.size(F.array_intersect("shared_a", "shared_b")) >= MATCHES)
+    likely = written(met.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"))
+    links = written(_beside(_beside(likely, sets, "b", "a"), sets, "a", "b").select("a", "b", "own_a", "own_b").mapInArrow(_confirmed, "a long, b long").distinct())
+    released(pairs, likely)
+    return links
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with these as a_comp and b_comp."""
+    to = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+    placed = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left")
+    return placed.withColumns({"a_comp": F.coalesce("a_comp", "a"), "b_comp": F.coalesce("b_comp", "b")}).where("a_comp <> b_comp")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels with what links joins, of which both are then deleted."""
+    if links.isEmpty():
+        released(links)
+        return labels
+    joined = components(_apart(links, labels).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    out = _relabelled(labels, joined)
+    released(labels, links, joined)
+    return out
+
+
+def _list_pairs(postings: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """a, b and estimate of the likely pairs between components that share a list, compared in blocks."""
+    placed = written(postings.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp")))
+    sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"))
+    several = sizes.groupBy("value").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("all")).where("comps > 1")
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    several = written(several.select("value", F.col("most.comp").alias("most"), blocks(F.col("most.m")).alias("ins"), blocks(F.col("all") - F.col("most.m")).alias("outs")))
+    rows = placed.join(several, "value").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("most"), F.col("ins")).otherwise(F.col("outs"))).cast("int"))
+    pair = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    own, outs = F.col("own"), F.col("outs")
+    inside = F.transform(F.sequence(F.lit(0), outs - 1), lambda i: pair(i, outs + own, F.lit(1)))
+    outside = F.transform(F.sequence(F.lit(0), outs + F.col("ins") - 1), lambda k: pair(F.least(k, own), F.greatest(k, own), (k < own)))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("comp") == F.col("most"), inside).otherwise(outside))).select("value", "at.*", "node", "comp")
+    rows = rows.join(profiles.select("node", "n", "sketch"), "node").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "side")
+    pairs = written(rows.select("value", "i", "j", "side", "node", "comp", "n", "sketch").mapInArrow(_compared, "a long, b long, estimate int").distinct())
+    released(placed, several)
+    return pairs
+
+
+def _set_table(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """node and own, the bytes of its set, of classes (node, first: a document that has it)."""
+    rows = docs.join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = rows.mapInArrow(_sets, "doc_id long, digest binary, own binary").withColumn("node", F.xxhash64("digest")).drop("digest")
+    sets = sets.join(classes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi")
+    if repeated.isEmpty():
+        return written(sets.drop("doc_id"))
+    again = repeated.select("doc_id")
+    return written(sets.join(again, "doc_id", "left_anti").drop("doc_id").unionByName(sets.join(again, "doc_id", "left_semi").dropDuplicates(["node"]).drop("doc_id")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of docs (doc_id, text)."""
     shipped(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, signature array<long>"))
-    posted = signed.where("digest is not null and doc_id is not null")
-    classes = written(posted.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature")))
+    signed = docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, signature array<long>, sketch binary")
+    signed = written(signed.withColumn("node", F.when(F.col("digest").isNotNull(), F.xxhash64("digest"))).drop("digest"))
+    posted = signed.where("node is not null and doc_id is not null")
+    classes = written(posted.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.any_value(x).alias(x) for x in ("n_shingles", "signature", "sketch"))))
     values = classes.select("node", F.explode("signature").alias("value"))
     held = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     listed = values.join(held, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-    shared = written(listed.where(F.size("values") >= MATCHES).select("node", F.col("values.value").alias("shared")))
-    texts = written(docs.join(shared.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
+    listed = listed.where(F.size("values") >= MATCHES).select("node", F.col("values.value").alias("shared"))
+    profiles = written(listed.join(classes.select("node", "first", F.col("n_shingles").alias("n"), "sketch"), "node"))
+    repeated = written(posted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("low"), F.max("node").alias("high")).where("rows > 1"))
+    sets = _set_table(docs, profiles.select("node", "first"), repeated)
     prefix = F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)
-    postings = written(shared.select("node", F.size("shared").alias("n"), F.explode(prefix).alias("value")))
-    best = F.max(F.struct("n", (-F.col("node")).alias("minus")))
-    pivots = written(postings.groupBy("value").agg((-best["minus"]).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
-    star = postings.join(pivots, "value").where("node <> pivot").select(*_ordered(F.col("pivot"), F.col("node"))).distinct()
-    labels = components(_confirm(star, shared, texts))
-    for turn in range(TURNS + 1):
-        left = _open(postings, labels)
-        if left.isEmpty():
-            break
-        if turn < TURNS:
-            apart = left.where("comp <> most").select("value", F.col("node").alias("x"))
-            chosen = F.max(F.struct(F.xxhash64("value", "node", F.lit(turn)).alias("h"), "node"))
-            others = written(left.where("comp = most").groupBy("value").agg(chosen["node"].alias("node")))
-            pairs = apart.join(others, "value").select(*_ordered(F.col("x"), F.col("node"))).distinct()
-        else:
-            pairs = _prefix_pairs(written(left.select("node", "comp").distinct()), texts)
-        links = _confirm(pairs, shared, texts)
-        to = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))  # noqa: E731, B023
-        bridges = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-        labels = _relabelled(labels, components(bridges))
-
-    named = written(classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")))
-    out = signed.drop("signature").join(named, "digest", "left")
+    postings = written(profiles.select("node", F.size("shared").alias("n"), F.explode(prefix).alias("value")))
+    profiled = profiles.select("node", "shared", "sketch")
+
+    best = F.max(F.struct("n", "node"))
+    pivots = postings.groupBy("value").agg(best["node"].alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    meets = written(postings.join(pivots, "value").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times")))
+    nearest = meets.groupBy("node").agg(F.max(F.struct("times", "pivot"))["pivot"].alias("pivot"))
+    both = posted.join(repeated.where("low <> high").select("doc_id", "low"), "doc_id").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    links = _confirm(nearest.select(F.col("pivot").alias("a"), F.col("node").alias("b")), profiled, sets)
+    labels = components(links.unionByName(both))
+    released(links)
+    others = _apart(meets.select(*_ordered(F.col("pivot"), F.col("node"))).distinct(), labels)
+    labels = _merged(labels, _confirm(others.select("a", "b"), profiled, sets))
+    released(meets)
+    pairs = _list_pairs(postings, labels, profiles)
+    released(postings)
+    if not pairs.isEmpty():
+        ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "estimate").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "estimate"))
+        likeliest = ends.groupBy("node").agg(F.max(F.struct("estimate", "other"))["other"].alias("other")).select(*_ordered(F.col("node"), F.col("other"))).distinct()
+        labels = _merged(labels, _confirm(likeliest, profiled, sets))
+        labels = _merged(labels, _confirm(_apart(pairs, labels).select("a", "b"), profiled, sets))
+    released(pairs, profiles, sets, repeated)
+
+    placed = classes.select("node", "first").join(labels, "node")
+    least = placed.groupBy("comp").agg(F.min("first").alias("component"))
+    named = written(classes.select("node", "first").join(placed.join(least, "comp").select("node", "component"), "node", "left").select("node", F.coalesce("component", "first").alias("component_id")))
+    released(classes, labels)
+    out = signed.drop("signature", "sketch").join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
