@@ -1,12 +1,14 @@
 """License scan: canonical digest lookup.
 
 A text is brought to a canonical form (case, punctuation, white space, copyright lines and equivalent spellings
-made alike) and its SHA-256 is looked up among the digests of known licence texts in the same form. The lookup
-takes entire texts: the whole document, and each of its lines as a text of its own, which finds notices inside
-other matter. Whole licences are known as published, with the title lines that files carry and without; a document
-that starts with copyright lines of neither year nor sign, after a title or not, is looked up without them too.
-Built-in column functions only; the known digests are as many as the list given, and stand in the plan, so nothing
-is shuffled.
+made alike) and its SHA-256 is joined with the digests of known licence texts in the same form. The lookup takes
+entire texts: the whole document, and each of its lines as a text of its own, which finds notices inside other
+matter. Whole licences are known as published, with the title lines that files carry and without; a document that
+starts with copyright lines of neither year nor sign, after a title or not, is looked up without them too.
+
+A text is rewritten once, with its line ends kept; lines and the whole are both taken from that. Only lines as long as
+some known text are hashed. Digests go to a small table in the shared folder, from which they join the known ones;
+these are broadcast if there are no more than MOST_KNOWN.
 
 Defined results: null and empty texts, and texts of copyright lines alone, match nothing. Of several known texts
 with one canonical form the least name is reported. Repeated rows are judged alike, an empty table gives an empty
@@ -21,8 +23,10 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import ascii_lower, let
+from vecloom.llm.common import ascii_lower, written
 
+#: Known digests that are broadcast.
+MOST_KNOWN = 1_000_000
 #: Rewrites on lower-case text, in order; regular expressions that Java and RE2 read alike.
 REWRITES = (
     (r"(^|\n)[^\n\w]*(copyright|\(c\)|©)[^\n]*(\(c\)|©|[0-9]{4})[^\n]*", "\n"),
@@ -34,7 +38,7 @@ REWRITES = (
     (r"merchantibility", "merchantability"),
     (r"organisation", "organization"),
     (r"https?://", ""),
-    (r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "),
+    (r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " "),
 )
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -91,30 +95,47 @@ def published() -> tuple[tuple[str, str], ...]:
     return tuple(bodies) + tuple((name, f"{title}\n\n{text}") for name, text in bodies for title in TITLES.get(name, ()))
 
 
-def canonical(text: Column) -> Column:
+def rewritten(text: Column) -> Column:
+    """The text after all rewrites, with its line ends; a line's canonical form is its line, trimmed."""
     out = ascii_lower(F.coalesce(text, F.lit("")))
     for pattern, new in REWRITES:
         out = F.regexp_replace(out, pattern, new)
-    return F.trim(out)
+    return out
+
+
+def joined(text: Column) -> Column:
+    """The canonical form of a whole rewritten text."""
+    return F.trim(F.regexp_replace(text, "[ \n]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    return joined(rewritten(text))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> dict[str, str]:
-    """Digest of each known canonical text -> least name."""
+def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+    """digest, name (the least) and size of each known canonical text."""
     texts = spark.createDataFrame(list(known), "name string, text string").withColumn("text", canonical(F.col("text")))
-    return {r[0]: r[1] for r in texts.where("text <> ''").groupBy(F.sha2("text", 256)).agg(F.min("name")).collect()}
+    return texts.where("text <> ''").groupBy(F.sha2("text", 256).alias("digest"), F.length("text").alias("size")).agg(F.min("name").alias("name"))
 
 
 def scan_licenses(docs: DataFrame, known=None) -> DataFrame:
     """doc_id, text_sha256 (of the canonical text), license (of the whole text, or null) and line_licenses (names
-    found on single lines, sorted) of docs (doc_id, text). known: if not given, KNOWN and published()."""
-    digests = known_digests(docs.sparkSession, (*KNOWN, *published()) if known is None else known)
-    names = F.create_map(*[F.lit(x) for pair in sorted(digests.items()) for x in pair]) if digests else F.create_map().cast("map<string,string>")
-    looked_up = lambda text: F.try_element_at(names, F.sha2(canonical(text), 256))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    found = let(F.transform(lines, looked_up), lambda x: F.array_sort(F.array_distinct(F.filter(x, lambda n: n.isNotNull()))))
-    headless = F.when(F.col("text").rlike(HEAD), looked_up(F.regexp_replace("text", HEAD, "$1")))
-    df = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_sha256"), F.array_join(found, ",").alias("line_licenses"), headless.alias("headless"))
-    return df.select("doc_id", "text_sha256", F.coalesce(F.try_element_at(names, "text_sha256"), "headless").alias("license"), "line_licenses")
+    found on single lines, sorted) of docs (doc_id, text). known: names and texts; if not given, KNOWN and published()."""
+    known = (*KNOWN, *published()) if known is None else known
+    digests = written(known_digests(docs.sparkSession, known))
+    sizes = sorted({r[0] for r in digests.select("size").distinct().collect()})  # no more than there are known texts
+    names = digests.select("digest", "name")
+    names = F.broadcast(names) if len(known) <= MOST_KNOWN else names
+    fitting = lambda x: F.length(x).isin(*sizes) if sizes else F.lit(False)
+    lines = F.transform(F.filter(F.transform(F.split("plain", "\n"), lambda x: F.trim(x)), fitting), lambda x: F.sha2(x, 256))
+    headless = F.when(F.col("text").rlike(HEAD), F.sha2(canonical(F.regexp_replace("text", HEAD, "$1")), 256))
+    df = docs.select("doc_id", "text", rewritten(F.col("text")).alias("plain")).select("doc_id", F.sha2(joined(F.col("plain")), 256).alias("text_sha256"), headless.alias("headless"), F.array_distinct(lines).alias("lines"))
+    rows = written(df.withColumn("rid", F.monotonically_increasing_id()))
+    named = lambda column, out: names.select(F.col("digest").alias(column), F.col("name").alias(out))
+    some = rows.where(F.size("lines") > 0).select("rid", F.explode("lines").alias("line")).join(named("line", "name"), "line")
+    some = some.groupBy("rid").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("found"))  # at most as many names as are known
+    out = rows.join(named("text_sha256", "whole"), "text_sha256", "left").join(named("headless", "rest"), "headless", "left").join(some, "rid", "left")
+    return out.select("doc_id", "text_sha256", F.coalesce("whole", "rest").alias("license"), F.coalesce("found", F.lit("")).alias("line_licenses"))
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -125,7 +146,7 @@ def _op6_sql() -> str:
     def norm(column: str) -> str:
         out = f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
         for pattern, new in REWRITES:
-            pattern, new = (x.replace("'", "''").replace("\n", "'||chr(10)||'") for x in (pattern, new))
+            pattern, new = (x.replace("'", "''").replace("\n", "'||chr(10)||'") for x in (pattern.replace(r"\n\x{80}", r"\x{80}"), new))
             out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
         return f"sha256(trim({out}))"
 
