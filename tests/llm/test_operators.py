@@ -215,7 +215,21 @@ def test_transducer_equals_the_library_on_odd_strings(tokenizer):
     found += ["a" * 5000, " " * 300 + "x", "-" * 999, "ab " * 40000]
     expected = [len(e.ids) for e in library.encode_batch(found, add_special_tokens=False)]
     assert [counter.count(t) for t in found] == expected
-    assert [counter.long(t, 7) for t in found if "<|" not in t] == [n for t, n in zip(found, expected) if "<|" not in t]
+    for size in (7, 100):
+        assert [counter.whole([counter.chunk(t[i : i + size]) for i in range(0, len(t), size)]) for t in found] == expected
+
+
+def test_long_texts_are_counted_in_chunks(spark, tokenizer):
+    import public_tokenizers
+
+    library, _ = tokenizer
+    texts = ["word, and more<|endoftext|>  here\n" * 300, "x" * 5000, "", None, "a b", " " * 3000, "né中 " * 2000]
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    found = token_count.count_tokens(docs_of(spark, [(i, t) for i, t in enumerate(texts)]), vocabulary, long=1000, chunk=37).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in found} == {i: (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)}
+    with pytest.raises(ValueError, match="normalizer"):
+        token_count.Counter(vocabulary.replace('"normalizer":null', '"normalizer":{"type":"NFC"}').replace('"normalizer": null', '"normalizer": {"type": "NFC"}'))
 
 
 def brute_groups(rows):

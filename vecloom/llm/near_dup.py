@@ -19,8 +19,10 @@ Groups of thousands of near copies are not expanded into all pairs; what is in o
 comparison. First each class meets one class alone: the most connected one (the pivot) of most of its lists. Then it
 meets the pivots of its lists that are still in other components. Lists that hold several components even then are
 compared in blocks of at most BLOCK classes: those outside the list's largest component with each other and with that
-component's. Only pairs of different components, of fitting sizes and sketches leave a block. Each class confirms its
-likeliest pair first, and then all pairs that still lead to another component, so no link between components is lost.
+component's. Only pairs of different components, of fitting sizes and sketches leave a block: first the likeliest one
+of each class, and when these are confirmed and joined, all that remain. Then each class's reach also bounds them, the
+number of its shingles that a class of another component holds: a pair has no more in common. So edited copies, which
+share much but not enough, leave no pairs behind, and no link between components is lost.
 
 Components come from contraction: each node points to its least neighbour, pointers are followed to their ends by
 doubling, and links between the ends remain. Both loops are logarithmic, also for long chains of versions. A class that
@@ -146,29 +148,33 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(linked)) for x in ("a", "b")], names=["a", "b"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The likely pairs of the blocks, whose rows follow each other in the order of value, i, j and side."""
-    held = None
-    for batch in batches:
-        held = batch if held is None else pa.concat_batches([held, batch])
-        keys = np.stack([held.column(x).to_numpy() for x in ("value", "i", "j")])
-        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-        if starts[-1]:  # the last block may go on
-            yield from _block_pairs(held.slice(0, int(starts[-1])), keys[:, : starts[-1]], starts[:-1])
-            held = held.slice(int(starts[-1]))
-    if held is not None and held.num_rows:
-        keys = np.stack([held.column(x).to_numpy() for x in ("value", "i", "j")])
-        yield from _block_pairs(held, keys, np.zeros(1, np.int64))
-
-
-def _block_pairs(rows: pa.RecordBatch, keys: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _comparing(likeliest: bool):
+    """The likely pairs of blocks, whose rows follow each other in the order of value, i, j and side; or of each row
+    only the likeliest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            keys = np.stack([held.column(x).to_numpy() for x in ("value", "i", "j")])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+            if starts[-1]:  # the last block may go on
+                yield from _block_pairs(held.slice(0, int(starts[-1])), keys[:, : starts[-1]], starts[:-1], likeliest)
+                held = held.slice(int(starts[-1]))
+        if held is not None and held.num_rows:
+            keys = np.stack([held.column(x).to_numpy() for x in ("value", "i", "j")])
+            yield from _block_pairs(held, keys, np.zeros(1, np.int64), likeliest)
+
+    return run
+
+
+def _block_pairs(rows: pa.RecordBatch, keys: np.ndarray, starts: np.ndarray, likeliest: bool) -> Iterator[pa.RecordBatch]:
     n_rows = rows.num_rows
-    node, comp, n, side = (rows.column(x).to_numpy() for x in ("node", "comp", "n", "side"))
+    node, comp, n, reach, side = (rows.column(x).to_numpy() for x in ("node", "comp", "n", "reach", "side"))
     sketches, sizes = _sketches(rows.column("sketch")), np.diff(np.append(starts, n_rows))
     end = np.repeat(starts + sizes, sizes)
     middle = np.repeat(starts + np.add.reduceat(1 - side, starts), sizes)
-    same = keys[1] == keys[2]
-    first = np.where(same, np.arange(n_rows) + 1, middle)
+    first = np.where(keys[1] == keys[2], np.arange(n_rows) + 1, middle)
     count = np.where(side == 0, end - first, 0)
     past = np.cumsum(count)
     at = 0
@@ -177,12 +183,17 @@ def _block_pairs(rows: pa.RecordBatch, keys: np.ndarray, starts: np.ndarray) ->
         many = count[at:stop]
         x = np.repeat(np.arange(at, stop), many)
         y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at:stop], many)
-        fit = (comp[x] != comp[y]) & (node[x] != node[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+        # no more can be common than the smaller reach, and what is common is in neither's rest
+        fit = (comp[x] != comp[y]) & ((100 + PERCENT) * np.minimum(reach[x], reach[y]) >= PERCENT * (n[x] + n[y]))
         x, y = x[fit], y[fit]
         if len(x):
             ok, estimate = alike(sketches[x], sketches[y])
-            a, b = node[x[ok]], node[y[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(estimate[ok].astype(np.int32))], names=["a", "b", "estimate"])
+            x, y, estimate = x[ok], y[ok], estimate[ok]
+            if likeliest:
+                order = np.lexsort((estimate, x))
+                last = order[np.flatnonzero(np.diff(x[order], append=n_rows))]
+                x, y = x[last], y[last]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
         at = stop
 
 
@@ -271,21 +282,56 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _list_pairs(postings: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
-    """a, b and estimate of the likely pairs between components that share a list, compared in blocks."""
-    placed = written(postings.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp")))
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("own")]
+        for a in range(0, len(own), 256):
+            many, part = [len(x) for x in own[a : a + 256]], batch.slice(a, 256)
+            columns = [np.repeat(part.column(c).to_numpy(), many) for c in ("node", "comp")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(own[a : a + 256]))], names=["node", "comp", "hash"])
+
+
+def _reaches(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and reach, how many of its shingles a node of another component holds, of nodes (node, comp, n) that reach
+    far enough for any link."""
+    hashes = written(sets.join(nodes, "node").select("node", "comp", "own").mapInArrow(_exploded, "node long, comp long, hash long"))
+    crossing = hashes.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("hash")
+    reach = hashes.join(crossing, "hash").groupBy("node").agg(F.count(F.lit(1)).alias("reach"))
+    out = written(reach.join(nodes, "node").where(100 * F.col("reach") >= PERCENT * F.col("n")).select("node", "reach"))
+    released(hashes)
+    return out
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """The lists of placed (value, node, comp) that hold several components: the one of most classes, and the numbers
+    of blocks in it and outside."""
     sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"))
-    several = sizes.groupBy("value").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("all")).where("comps > 1")
+    lists = sizes.groupBy("value").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("all")).where("comps > 1")
     blocks = lambda m: F.ceil(m / BLOCK).cast("int")
-    several = written(several.select("value", F.col("most.comp").alias("most"), blocks(F.col("most.m")).alias("ins"), blocks(F.col("all") - F.col("most.m")).alias("outs")))
+    return written(lists.select("value", F.col("most.comp").alias("most"), blocks(F.col("most.m")).alias("ins"), blocks(F.col("all") - F.col("most.m")).alias("outs")))
+
+
+def _list_pairs(postings: DataFrame, labels: DataFrame, profiles: DataFrame, sets: DataFrame, likeliest: bool) -> DataFrame:
+    """The likely pairs (a, b) between components that share a list, compared in blocks."""
+    placed = written(postings.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp")))
+    several, known = _several(placed), profiles.select("node", "n", "sketch")
+    if likeliest:
+        known = known.withColumn("reach", F.col("n"))
+    else:
+        nodes = written(placed.join(several.select("value"), "value", "left_semi").select("node", "comp").distinct().join(profiles.select("node", "n"), "node"))
+        reaches = _reaches(nodes, sets)
+        all_placed, placed, all_several = placed, written(placed.join(reaches.select("node"), "node", "left_semi")), several
+        released(all_placed, all_several, nodes)
+        several, known = _several(placed), known.join(reaches, "node")
     rows = placed.join(several, "value").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("most"), F.col("ins")).otherwise(F.col("outs"))).cast("int"))
     pair = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     own, outs = F.col("own"), F.col("outs")
     inside = F.transform(F.sequence(F.lit(0), outs - 1), lambda i: pair(i, outs + own, F.lit(1)))
     outside = F.transform(F.sequence(F.lit(0), outs + F.col("ins") - 1), lambda k: pair(F.least(k, own), F.greatest(k, own), (k < own)))
     rows = rows.withColumn("at", F.explode(F.when(F.col("comp") == F.col("most"), inside).otherwise(outside))).select("value", "at.*", "node", "comp")
-    rows = rows.join(profiles.select("node", "n", "sketch"), "node").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "side")
-    pairs = written(rows.select("value", "i", "j", "side", "node", "comp", "n", "sketch").mapInArrow(_compared, "a long, b long, estimate int").distinct())
+    rows = rows.join(known, "node").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "side")
+    rows = rows.select("value", "i", "j", "side", "node", "comp", "n", "reach", "sketch")
+    pairs = written(rows.mapInArrow(_comparing(likeliest), "a long, b long").distinct())
     released(placed, several)
     return pairs
 
@@ -331,14 +377,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others = _apart(meets.select(*_ordered(F.col("pivot"), F.col("node"))).distinct(), labels)
     labels = _merged(labels, _confirm(others.select("a", "b"), profiled, sets))
     released(meets)
-    pairs = _list_pairs(postings, labels, profiles)
-    released(postings)
-    if not pairs.isEmpty():
-        ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "estimate").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "estimate"))
-        likeliest = ends.groupBy("node").agg(F.max(F.struct("estimate", "other"))["other"].alias("other")).select(*_ordered(F.col("node"), F.col("other"))).distinct()
-        labels = _merged(labels, _confirm(likeliest, profiled, sets))
-        labels = _merged(labels, _confirm(_apart(pairs, labels).select("a", "b"), profiled, sets))
-    released(pairs, profiles, sets, repeated)
+    for likeliest in (True, False):
+        pairs = _list_pairs(postings, labels, profiles, sets, likeliest)
+        labels = _merged(labels, _confirm(pairs, profiled, sets))
+        released(pairs)
+    released(postings, profiles, sets, repeated)
 
     placed = classes.select("node", "first").join(labels, "node")
     least = placed.groupBy("comp").agg(F.min("first").alias("component"))
