@@ -104,6 +104,23 @@ def running_sum(df: DataFrame, keys: Sequence[str], levels: Sequence[str], order
     return df.withColumn("_in", before).join(offsets, groups).withColumn(out, (F.col("_in") + F.col(offset)).cast("long")).drop("_in", offset)
 
 
+def in_order(df: DataFrame, order: Sequence, sums: dict[str, str]) -> tuple[DataFrame, tuple[int, ...]]:
+    """Adds the sum of each column over the earlier rows in the order of all rows, which must be total, as the name
+    given; and the totals. Rows are sorted into ranges, each range is summed on its own and starts at its offset, of
+    which the driver sees one for each range."""
+    ranged = written(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    totals = {r[0]: [int(x or 0) for x in r[1:]] for r in ranged.groupBy("_range").agg(*(F.sum(c).cast("decimal(38,0)") for c in sums.values())).collect()}
+    past, offsets = [0] * len(sums), []
+    for part in sorted(totals):
+        offsets.append((part, *past))
+        past = [a + b for a, b in zip(past, totals[part], strict=True)]
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    names = {out: f"_offset_{out}" for out in sums}
+    starts = df.sparkSession.createDataFrame(offsets or [(-1, *past)], ", ".join(["_range int", *(f"{n} long" for n in names.values())]))
+    out = ranged.withColumns({o: F.coalesce(F.sum(c).over(own), F.lit(0)) for o, c in sums.items()}).join(F.broadcast(starts), "_range")  # a row for each range
+    return out.withColumns({o: (F.col(o) + F.col(n)).cast("long") for o, n in names.items()}).drop("_range", *names.values()), tuple(past)
+
+
 def spread(digest: Column, groups: Column) -> tuple[Column, Column]:
     """Levels for running_sum out of a hexadecimal digest: its place among groups, in the digest's order."""
     fine = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * groups / F.lit(2.0**32)).cast("long")
