@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-LONG_WORDS = 20_000
+LONG_WORDS = 60_000
 SECRET = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
 
 
@@ -17,7 +17,7 @@ def texts(seed=5):
     out = [None, "", " \t\n\x0b ", "one", "Four short Words here", "five words are just enough", "ÉÈ ñ 中文 😀 word\x00nul", "\n\n\n"]
     out += [" ".join(base), " ".join(base), " ".join(base).upper(), " ".join(near), " ".join(base[:90]), "  ".join(base)]
     out += [" ".join(words(40) + passage + words(40)), " ".join(passage[:9] + words(50)), " ".join(passage), ", ".join(words(30) + passage).title()]
-    out += [" ".join(words(LONG_WORDS)), "x" * 300_000, " ".join(["the same three words"] * 60), "\n".join(["a line", "", "a line", "b", "a line"] * 12)]
+    out += [" ".join(words(LONG_WORDS)), "x" * 700_000, " ".join(["the same three words"] * 60), "\n".join(["a line", "", "a line", "b", "a line"] * 12)]
     out += [f"{'é' * 30} {SECRET} and AKIA{'Q' * 16} near {'Ab3' * 14} https://host.example:80/x", f"{'Ab3' * 14} alone", "secret=token : abcdefgh api_KEY: 'abc' Password=abcdef", "😀" * 20 + " passwd: hunter2hunter2 " + "f" * 24 + "g" + "0" * 23]
     out += ["login = someone@example.com " + "pad " * 20 + SECRET, "login = someone " + "pad " * 90 + SECRET, "10.0.0.1 account: me api_key='0123456789abcdef'"]
     out += ["Licensed under the MIT Licence!", "text\nCopyright 2020 Someone\nAll rights reserved.\nReleased under the MIT license", " ".join(words(200)).replace("a", "%%%"), " | ".join(words(150))]

@@ -1,6 +1,8 @@
 """Operators against brute force, round trips, held-out accuracy, and in their less common paths."""
 
 import bisect
+import collections
+import hashlib
 import itertools
 import random
 import re
@@ -13,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.llm import common, decontaminate, licenses, mixing, near_dup, sharding, token_count, toxicity, url_filter
+from vecloom.llm import common, decontaminate, licenses, mixing, near_dup, secrets, sharding, token_count, toxicity, url_filter
 from vecloom.llm.queries import queries
 
 
@@ -35,6 +37,32 @@ def test_rule_is_filed_under_its_rarest_token():
     assert list(url_filter.rarest_index([rule], {"example": 5, "com": 9, "en": 2})) == ["en"]
 
 
+def test_repeats_of_items_and_windows_are_no_product(spark):
+    """10,000 equal items against a text that repeats them 10,000 times."""
+    text = "aa bb cc dd ee ff gg hh ii jj kk ll "
+    found = decontaminate.decontaminate(docs_of(spark, [(1, text * 10_000)]), docs_of(spark, [(i, text) for i in range(10_000)], "item_id long, text string")).first().report
+    assert (found.n_hit, found.n_items) == (120_000, 10_000)
+
+
+def test_items_larger_than_a_block_are_cut(spark):
+    r = random.Random(1)
+    words = [r.choice([f"w{k}" for k in range(300)]) for _ in range(3000)]
+    bench = docs_of(spark, [(1, " ".join(words)), (2, "a b c"), (2, "a b c"), (3, " ".join(words[:40]))], "item_id long, text string")
+    docs = docs_of(spark, [(i, " ".join(words[i * 53 : i * 53 + r.randint(5, 60)])) for i in range(56)])
+    whole, cut = (sorted(map(repr, decontaminate.decontaminate(docs, bench, block_words=n).select("doc_id", "report.*").collect())) for n in (10**6, 700))
+    assert whole == cut
+    sizes = {r.block: r.n for r in decontaminate.benchmark_blocks(bench, 700).selectExpr("block", "size(split(text, ' ')) n").groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    assert len(sizes) > 3 and max(sizes.values()) <= 1400
+
+
+def test_a_hundred_thousand_spans_in_one_text(spark):
+    n = 100_000
+    text = "".join(f"token=abcdef{i} " for i in range(n))
+    row = secrets.scan_secrets(docs_of(spark, [(1, text + "login: bob " + "Ab3" * 14)])).selectExpr("size(base) as n", "element_at(base, -1) as last", "linked").first()
+    assert (row.n, row.last.stop) == (n, len(text) - 1)
+    assert [(s.start, s.kind) for s in row.linked] == [(len(text), 4), (len(text) + 11, 5)]
+
+
 def test_blocks_of_the_benchmark_give_the_same_hits(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -63,6 +91,103 @@ def test_toxicity_learns_only_from_rows_that_are_not_held_out(spark):
     assert misspelt > clean and known > clean
 
 
+def grams_of(text):
+    """Buckets of the character n-grams of a text, one after another, in plain Python."""
+    mask, out = (1 << 64) - 1, []
+    letters = "".join(c if ord(c) >= 128 else chr(ord(c) + 32) if "A" <= c <= "Z" else c if c.isalnum() else "\0" for c in f"\0{text or ''}\0")
+    factors = [int(f) for f in toxicity._FACTORS]
+    for n in range(toxicity.LEAST_N, toxicity.MOST_N + 1):
+        for i in range(len(letters) - n + 1):
+            gram = letters[i : i + n]
+            if "\0" not in gram[1:-1]:
+                x = sum((ord(c) + 1) * f for c, f in zip(gram, factors)) & mask
+                for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                    x = ((x ^ (x >> 33)) * factor) & mask
+                out.append((x ^ (x >> 33)) >> (64 - toxicity.BUCKET_BITS))
+    return out
+
+
+def dense_model(bags, labels, used, seed=7):
+    """Joint training on a dense matrix, written without the shortcuts: vectors, averages, two logits, softmax."""
+    place = {g: i for i, g in enumerate(used)}
+    x = np.zeros((len(bags), len(used)))
+    for row, bag in enumerate(bags):
+        for g in bag:
+            if g in place:
+                x[row, place[g]] += 1 / len(bag)
+    rng = np.random.Generator(np.random.PCG64(seed))
+    v, w, bias = rng.normal(0, 0.1, (len(used), toxicity.DIMENSIONS)), rng.normal(0, 0.5, (2, toxicity.DIMENSIONS)), np.zeros(2)
+    taught = np.array([{1: toxicity.TOXIC_WEIGHT, 0: 1.0, -1: 0.0}[y] for y in labels])
+    taught /= taught.sum()
+    truth = np.array([[y == 0, y == 1] for y in labels], float)
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (v, w, bias)]
+    for step in range(1, toxicity.STEPS + 1):
+        mean = toxicity.SCALE * x @ v
+        logits = mean @ w.T + bias
+        e = np.exp(logits - logits.max(axis=1, keepdims=True))
+        error = (e / e.sum(axis=1, keepdims=True) - truth) * taught[:, None]
+        gradients = [toxicity.SCALE * x.T @ (error @ w) + toxicity.DECAY * v, error.T @ mean, error.sum(axis=0)]
+        for p, g, (m, s) in zip((v, w, bias), gradients, state):
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            p -= toxicity.RATE * (1 - step / (toxicity.STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+    return dict(zip(used, v @ (w[1] - w[0]))), bias[1] - bias[0]
+
+
+def logit_of(bag, model):
+    return toxicity.SCALE * sum(model[0].get(g, 0.0) for g in bag) / max(len(bag), 1) + model[1]
+
+
+def brute_trained(rows):
+    """The model of (text, label) rows, with the bias that its folds teach."""
+    bags, labels = [grams_of(t) for t, _ in rows], [y for _, y in rows]
+    held = lambda kept: collections.Counter(g for i in kept for g in set(bags[i]))
+    used = sorted(g for g, n in held(range(len(rows))).items() if n >= toxicity.LEAST_TEXTS)
+    numbers, bias = dense_model(bags, labels, used)
+    fold = [sum(z == labels[i] for z in labels[:i]) % toxicity.FOLDS for i in range(len(rows))]
+    if min(labels.count(0), labels.count(1)) >= toxicity.FOLDS:
+        logits = [0.0] * len(rows)
+        for k in range(toxicity.FOLDS):
+            n = held(i for i in range(len(rows)) if fold[i] != k)
+            model = dense_model(bags, [-1 if f == k else y for f, y in zip(fold, labels)], used)
+            known = {g: x for g, x in model[0].items() if n[g] >= toxicity.LEAST_TEXTS}, model[1]
+            for i in (i for i in range(len(rows)) if fold[i] == k):
+                logits[i] = logit_of(bags[i], known)
+        best, cut = -1.0, max(logits) + 1.0
+        for c in sorted(set(logits), reverse=True):
+            caught, false = (np.mean([x >= c for x, y in zip(logits, labels) if y == z]) for z in (1, 0))
+            if false <= toxicity.MOST_FALSE and caught - false > best:
+                best, cut = caught - false, (c + max([x for x in logits if x < c], default=c)) / 2
+        bias += np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD)) - cut
+    return numbers, bias
+
+
+def brute_scores(model, texts):
+    return [1 / (1 + np.exp(-np.clip(logit_of(grams_of(t), model), -60, 60))) for t in texts]
+
+
+def test_toxicity_equals_a_plain_trainer_on_odd_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows, several texts of one doc_id, clashing columns."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("aeiourstlné") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(12)) + (" Nasty-Word" if i % 3 == 0 else "")) for i in range(40)]
+    rows += [(40, None), (41, ""), (42, " ... "), (43, "z" * 50_000), (None, "nastyword"), (7, rows[7][1]), (9, "aaa first of all"), (9, None)]
+    labels = [(i, int(i % 3 == 0)) for i in range(44)] + [(3, 0), (5, None), (None, 1)]
+    docs = docs_of(spark, [(*x, "s", 1.5) for x in rows], "doc_id long, text string, digest string, score double")
+    known = docs_of(spark, [(*x, "d") for x in labels], "doc_id long, toxic int, digest string")
+    texts = {}
+    for i, t in rows:
+        own = hashlib.sha256((t or "").encode()).hexdigest(), t or ""
+        texts[i] = min(own, texts.get(i, own))
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    taught = sorted((hashlib.md5(str(i).encode()).hexdigest(), texts[i][1], int(i % 3 == 0)) for i in range(44) if not held(i) and i != 5)
+    expected = brute_trained([x[1:] for x in taught])
+    for _ in range(2):  # reruns agree
+        out = toxicity.score(docs, toxicity.trained(docs, known), "found").collect()
+        assert [r.found for r in out] == pytest.approx(brute_scores(expected, [t for _, t in rows]), abs=1e-3)
+        assert all(r.score == 1.5 for r in out)
+
+
 def test_scores_do_not_depend_on_pieces(monkeypatch):
     model = toxicity.Model(np.random.default_rng(1).normal(size=1 << toxicity.BUCKET_BITS), 0.1)
     texts = pa.array(["some words here " * 40, None, "", "ü" * 500, "short"])
@@ -144,11 +269,24 @@ def test_running_sum_over_levels(spark):
             assert got[k, i] == sum(v for kk, j, v in rows if kk == k and j < i)
 
 
+def greedy_cuts(sizes, capacity):
+    """Where filling one shard after another starts a new one; None if an item is larger than a shard."""
+    cuts, held = [], 0
+    for i, size in enumerate(sizes):
+        if size > capacity:
+            return None
+        if held + size > capacity:
+            cuts.append(i)
+            held = 0
+        held += size
+    return cuts
+
+
 def smallest_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
         middle = (low + high) // 2
-        cuts = sharding.cut(sizes, middle)
+        cuts = greedy_cuts(sizes, middle)
         if cuts is not None and len(cuts) < shards:
             high = middle
         else:
@@ -270,6 +408,36 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(x.kept == (x.doc_id == x.component_id) for x in found)
 
 
+@pytest.fixture
+def counted(monkeypatch):
+    """Counts the tables that near_dup writes; blocks and keys are so small that every group is split."""
+    tables = []
+    keep = near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df: tables.append(1) or keep(df))
+    for name, value in (("BLOCK", 16), ("KEY_PAIRS", 5), ("PAIRS", 100)):
+        monkeypatch.setattr(near_dup, name, value)
+    return tables
+
+
+def test_versions_of_a_drifting_text_and_templates_equal_brute_force(spark, counted):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    text, rows = [r.choice(vocabulary) for _ in range(120)], []
+    for i in range(200):
+        rows.append((i, " ".join(text)))
+        for _ in range(4):
+            text[r.randrange(120)] = r.choice(vocabulary)
+    parts = [" ".join(r.choice(vocabulary) for _ in range(40)) for _ in range(20)]
+    rows += [(1000 + i, " ".join(parts[k] for k in sorted(r.sample(range(20), 10)))) for i in range(250)]
+    found = near_dup.near_duplicates(docs_of(spark, rows)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute_groups(rows)
+
+
+def test_a_long_chain_needs_few_rounds(spark, counted):
+    links = docs_of(spark, [(i, i + 1) for i in range(1000)], "a long, b long")
+    assert {r.comp for r in near_dup.components(links).collect()} == {0} and len(counted) <= 15
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     text = "one two three four five six seven"
     found = near_dup.near_duplicates(docs_of(spark, [(None, text), (5, text), (5, text), (3, text), (8, "other"), (8, None)])).collect()

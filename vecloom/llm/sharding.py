@@ -38,19 +38,6 @@ def group_key(text: Column) -> Column:
     return F.coalesce(F.conv(F.substring(F.sha2(text, 256), 1, BITS // 4), 16, 10).cast("long"), F.lit(1 << BITS))
 
 
-def cut(sizes: list[int], capacity: float) -> list[int] | None:
-    """Indices at which greedy filling starts a new shard; None if an item exceeds the capacity."""
-    cuts, held = [], 0
-    for i, s in enumerate(sizes):
-        if s > capacity:
-            return None
-        if held + s > capacity:
-            cuts.append(i)
-            held = 0
-        held += s
-    return cuts
-
-
 def greedy(sums: list[int], capacity: int, shards: int, whole: bool) -> list[int] | None:
     """Where shards end if each is filled up to capacity: positions on the running sums. Not whole: anywhere.
     None if shards do not reach the end."""
