@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.llm import common, decontaminate, licenses, mixing, near_dup, secrets, sharding, token_count, toxicity, url_filter
+from vecloom.llm import common, decontaminate, licenses, mixing, near_dup, secrets, sharding, token_count, toxicity, url_filter, wordhash
 from vecloom.llm.queries import queries
 
 
@@ -37,6 +37,15 @@ def test_rule_is_filed_under_its_rarest_token():
     assert list(url_filter.rarest_index([rule], {"example": 5, "com": 9, "en": 2})) == ["en"]
 
 
+def test_words_longer_than_a_piece_end_with_their_row():
+    rows = ["x" * (3 * wordhash.PIECE - 5), "ab cd", "y" * (wordhash.PIECE + 9) + " z", "", "é" * wordhash.PIECE, "end"]
+    data, offsets = wordhash.column(pa.array(rows))
+    hashes, counts = wordhash.words(data, offsets, wordhash.VISIBLE)
+    assert np.diff(counts).tolist() == [len(t.split()) for t in rows]
+    alone = [wordhash.words(*wordhash.column(pa.array([t])), wordhash.VISIBLE)[0] for t in rows]
+    assert (np.concatenate(alone) == hashes).all()
+
+
 def test_repeats_of_items_and_windows_are_no_product(spark):
     """10,000 equal items against a text that repeats them 10,000 times."""
     text = "aa bb cc dd ee ff gg hh ii jj kk ll "

@@ -95,7 +95,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
                 end = start + PIECE
                 gap = np.flatnonzero(~inside[data[start + 1 : end + 1]])
                 while not len(gap) and end < stop:
-                    gap = np.flatnonzero(~inside[data[end + 1 : end + 1 + PIECE]]) + (end - start)
+                    gap = np.flatnonzero(~inside[data[end + 1 : min(end + 1 + PIECE, stop)]]) + (end - start)
                     end = min(end + PIECE, stop)
                 end = start + 1 + int(gap[-1]) if len(gap) else stop
             hashes, places = _piece(data[start:end], offsets[first : last + 1] - start, inside)
