@@ -37,6 +37,39 @@ def test_rule_is_filed_under_its_rarest_token():
     assert list(url_filter.rarest_index([rule], {"example": 5, "com": 9, "en": 2})) == ["en"]
 
 
+@pytest.mark.parametrize(
+    ("line", "tokens", "fits", "not_fits"),
+    [
+        ("||cheap-pills.", ("cheap", "pills"), ["cheap-pills.example.org/en", "m.cheap-pills.net/"], ["not-cheap-pills.net/", "a.com/cheap-pills."]),
+        ("||tracker.net^", ("tracker", "net"), ["tracker.net", "x.tracker.net/a"], ["tracker.network/", "mytracker.net/"]),
+        ("/banner/*/top^", ("banner", "top"), ["a.com/banner/x/TOP/", "a.com/banner/x/y/top"], ["a.com/banner/top", "a.com/banner/x/topper"]),
+        ("/login.php|", ("login", "php"), ["a.com/login.php"], ["a.com/login.phpx"]),
+        ("/(^|[.-])casino[0-9]*\\./", (), ["casino12.com/", "my-casino.org/"], ["casinos.com/"]),
+        ("/ads/track/", (), ["x.com/ads/tracker"], ["x.com/ad/track"]),
+        ("@@||good.org^", ("good", "org"), ["good.org/spam"], ["bad.org/good.org"]),
+    ],
+)
+def test_lines_of_a_filter_list(line, tokens, fits, not_fits):
+    rule = url_filter.list_rule(line)
+    assert rule.tokens == tokens and rule.action == ("allow" if line.startswith("@@") else "block")
+    pattern = rule.pattern.replace(r"\z", r"\Z")
+    assert all(re.search(pattern, u) for u in fits) and not any(re.search(pattern, u) for u in not_fits)
+
+
+def test_thousands_of_rules_equal_every_rule_tried(spark):
+    r = random.Random(2)
+    names = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(400)]
+    lines = [f"||{r.choice(names)}-{r.choice(names)}." for _ in range(3000)] + [f"/{n}/*{r.choice(names)}^" for n in names[:50]] + [f"@@||{n}.org^" for n in names[:20]] + ["/aa+b/", "! no rule", ""]
+    rules = url_filter.list_rules(lines)
+    urls = [f"http://{r.choice(names)}{r.choice('.-')}{r.choice(names)}.org/{r.choice(names)}/{r.choice(names)}" for _ in range(1500)]
+    urls += [f"http://{x.strip('|.')}.net/" for x in lines[:200]] * 2 + [None]
+    found = url_filter.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string"), rules).collect()
+    compiled = [(x, re.compile(x.pattern.replace(r"\z", r"\Z"))) for x in rules]
+    for row in found:
+        fit = max(((x.weight, x.name, x.action) for x, p in compiled if p.search(row.host + row.path)), default=(0, None, "allow"))
+        assert (row.pattern, row.verdict) == fit[1:]
+
+
 def test_words_longer_than_a_piece_end_with_their_row():
     rows = ["x" * (3 * wordhash.PIECE - 5), "ab cd", "y" * (wordhash.PIECE + 9) + " z", "", "é" * wordhash.PIECE, "end"]
     data, offsets = wordhash.column(pa.array(rows))
