@@ -20,9 +20,10 @@ comparison. First each class meets one class alone: the most connected one (the
 meets the pivots of its lists that are still in other components. Lists that hold several components even then are
 compared in blocks of at most BLOCK classes: those outside the list's largest component with each other and with that
 component's. Only pairs of different components, of fitting sizes and sketches leave a block: first the likeliest one
-of each class, and when these are confirmed and joined, all that remain. Then each class's reach also bounds them, the
-number of its shingles that a class of another component holds: a pair has no more in common. So edited copies, which
-share much but not enough, leave no pairs behind, and no link between components is lost.
+of each class. When these are confirmed and joined, what remains is compared in full, so no link between components is
+lost: each class then brings its crossing shingles, those that a class of another component holds too (a pair has
+nothing else in common), if they are enough for any link. Pairs are decided inside their block, and a block tells no
+more than one link for each pair of components.
 
 Components come from contraction: each node points to its least neighbour, pointers are followed to their ends by
 doubling, and links between the ends remain. Both loops are logarithmic, also for long chains of versions. A class that
@@ -85,12 +86,15 @@ def sketch(own: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of sketches may be of similar enough sets, and their estimated similarity in thousandths."""
+def alike(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of sketches may be of similar enough sets, and their estimated similarity in thousandths. sizes: of
+    both sets together. The bins in use show so many of the union's hashes, drawn without putting back."""
     held = np.count_nonzero(a | b, axis=1)
     equal = np.count_nonzero((a == b) & (a > 0), axis=1)
     share = PERCENT / 100
-    return equal >= share * held - SLACK * np.sqrt(share * (1 - share) * held), 1000 * equal // np.maximum(held, 1)
+    union = np.maximum(sizes / (1 + share), held)
+    spread = np.sqrt(share * (1 - share) * held * (union - held) / np.maximum(union - 1, 1))
+    return equal >= share * held - SLACK * spread - 1, 1000 * equal // np.maximum(held, 1)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +136,8 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = alike(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")))[0]
+        sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        ok = alike(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")), sizes)[0]
         yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(ok)) for x in ("a", "b")], names=["a", "b"])
 
 
@@ -149,8 +154,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _comparing(likeliest: bool):
-    """The likely pairs of blocks, whose rows follow each other in the order of value, i, j and side; or of each row
-    only the likeliest."""
+    """The likeliest pair of each row of blocks, whose rows follow each other in the order of value, i, j and side; or,
+    from the rows' crossing shingles, a link for each two components that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -170,7 +175,9 @@ def _comparing(likeliest: bool):
 
 def _block_pairs(rows: pa.RecordBatch, keys: np.ndarray, starts: np.ndarray, likeliest: bool) -> Iterator[pa.RecordBatch]:
     n_rows = rows.num_rows
-    node, comp, n, reach, side = (rows.column(x).to_numpy() for x in ("node", "comp", "n", "reach", "side"))
+    node, comp, n, side = (rows.column(x).to_numpy() for x in ("node", "comp", "n", "side"))
+    crossing = None if likeliest else [np.frombuffer(v.as_buffer(), _U) for v in rows.column("crossing")]
+    reach = n if likeliest else np.array([len(x) for x in crossing])
     sketches, sizes = _sketches(rows.column("sketch")), np.diff(np.append(starts, n_rows))
     end = np.repeat(starts + sizes, sizes)
     middle = np.repeat(starts + np.add.reduceat(1 - side, starts), sizes)
@@ -187,16 +194,34 @@ def _block_pairs(rows: pa.RecordBatch, keys: np.ndarray, starts: np.ndarray, lik
         fit = (comp[x] != comp[y]) & ((100 + PERCENT) * np.minimum(reach[x], reach[y]) >= PERCENT * (n[x] + n[y]))
         x, y = x[fit], y[fit]
         if len(x):
-            ok, estimate = alike(sketches[x], sketches[y])
+            ok, estimate = alike(sketches[x], sketches[y], n[x] + n[y])
             x, y, estimate = x[ok], y[ok], estimate[ok]
             if likeliest:
                 order = np.lexsort((estimate, x))
                 last = order[np.flatnonzero(np.diff(x[order], append=n_rows))]
                 x, y = x[last], y[last]
+            else:
+                x, y = _linked(x, y, np.argsort(-estimate, kind="stable"), comp, n, crossing)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
         at = stop
 
 
+def _linked(x: np.ndarray, y: np.ndarray, order: np.ndarray, comp: np.ndarray, n: np.ndarray, crossing: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs, in the order given, those that are similar enough; one for each two components."""
+    out, known = [], set()
+    low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+    for k in order.tolist():
+        ends = low[k], high[k]
+        if ends not in known:
+            a, b = x[k], y[k]
+            both = np.sort(np.concatenate([crossing[a], crossing[b]]), kind="stable")
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            if 100 * common >= PERCENT * (n[a] + n[b] - common):
+                known.add(ends)
+                out.append(k)
+    return x[out], y[out]
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and comp, the least node reachable over links (a, b), for every node that has a link."""
     labels = None
@@ -258,7 +283,7 @@ def _confirm(pairs: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFram
     """The pairs (a, b) with enough collisions and near enough sketches whose full shingle sets are similar enough."""
     pairs = written(pairs)
     met = _beside(_beside(pairs, profiles, "b", "a"), profiles, "a", "b").where(F.size(F.array_intersect("shared_a", "shared_b")) >= MATCHES)
-    likely = written(met.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"))
+    likely = written(met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"))
     links = written(_beside(_beside(likely, sets, "b", "a"), sets, "a", "b").select("a", "b", "own_a", "own_b").mapInArrow(_confirmed, "a long, b long").distinct())
     released(pairs, likely)
     return links
@@ -291,13 +316,21 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(own[a : a + 256]))], names=["node", "comp", "hash"])
 
 
-def _reaches(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node and reach, how many of its shingles a node of another component holds, of nodes (node, comp, n) that reach
-    far enough for any link."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [v.values.to_numpy() for v in batch.column("hashes")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.sort(x.view(_U)).tobytes() for x in lists], pa.binary())], names=["node", "crossing"])
+
+
+def _crossings(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and crossing, the shingles (as sorted bytes) that a node of another component holds too, of those nodes
+    (node, comp, n) that have enough of them for any link."""
     hashes = written(sets.join(nodes, "node").select("node", "comp", "own").mapInArrow(_exploded, "node long, comp long, hash long"))
-    crossing = hashes.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("hash")
-    reach = hashes.join(crossing, "hash").groupBy("node").agg(F.count(F.lit(1)).alias("reach"))
-    out = written(reach.join(nodes, "node").where(100 * F.col("reach") >= PERCENT * F.col("n")).select("node", "reach"))
+    shared = hashes.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("hash")
+    held = hashes.join(shared, "hash").select("node", "hash")
+    enough = held.groupBy("node").agg(F.count(F.lit(1)).alias("reach")).join(nodes, "node").where(100 * F.col("reach") >= PERCENT * F.col("n"))
+    listed = held.join(enough.select("node"), "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    out = written(listed.mapInArrow(_packed, "node long, crossing binary"))
     released(hashes)
     return out
 
@@ -312,17 +345,16 @@ def _several(placed: DataFrame) -> DataFrame:
 
 
 def _list_pairs(postings: DataFrame, labels: DataFrame, profiles: DataFrame, sets: DataFrame, likeliest: bool) -> DataFrame:
-    """The likely pairs (a, b) between components that share a list, compared in blocks."""
+    """Pairs (a, b) between components that share a list, compared in blocks: the likeliest of each class, or, without
+    a further test, links."""
     placed = written(postings.join(labels, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp")))
     several, known = _several(placed), profiles.select("node", "n", "sketch")
-    if likeliest:
-        known = known.withColumn("reach", F.col("n"))
-    else:
+    if not likeliest:
         nodes = written(placed.join(several.select("value"), "value", "left_semi").select("node", "comp").distinct().join(profiles.select("node", "n"), "node"))
-        reaches = _reaches(nodes, sets)
-        all_placed, placed, all_several = placed, written(placed.join(reaches.select("node"), "node", "left_semi")), several
+        crossings = _crossings(nodes, sets)
+        all_placed, placed, all_several = placed, written(placed.join(crossings.select("node"), "node", "left_semi")), several
         released(all_placed, all_several, nodes)
-        several, known = _several(placed), known.join(reaches, "node")
+        several, known = _several(placed), known.join(crossings, "node")
     rows = placed.join(several, "value").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("most"), F.col("ins")).otherwise(F.col("outs"))).cast("int"))
     pair = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     own, outs = F.col("own"), F.col("outs")
@@ -330,7 +362,7 @@ def _list_pairs(postings: DataFrame, labels: DataFrame, profiles: DataFrame, set
     outside = F.transform(F.sequence(F.lit(0), outs + F.col("ins") - 1), lambda k: pair(F.least(k, own), F.greatest(k, own), (k < own)))
     rows = rows.withColumn("at", F.explode(F.when(F.col("comp") == F.col("most"), inside).otherwise(outside))).select("value", "at.*", "node", "comp")
     rows = rows.join(known, "node").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "side")
-    rows = rows.select("value", "i", "j", "side", "node", "comp", "n", "reach", "sketch")
+    rows = rows.select("value", "i", "j", "side", "node", "comp", *(c for c in known.columns if c != "node"))
     pairs = written(rows.mapInArrow(_comparing(likeliest), "a long, b long").distinct())
     released(placed, several)
     return pairs
@@ -364,7 +396,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = _set_table(docs, profiles.select("node", "first"), repeated)
     prefix = F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)
     postings = written(profiles.select("node", F.size("shared").alias("n"), F.explode(prefix).alias("value")))
-    profiled = profiles.select("node", "shared", "sketch")
+    profiled = profiles.select("node", "n", "shared", "sketch")
 
     best = F.max(F.struct("n", "node"))
     pivots = postings.groupBy("value").agg(best["node"].alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
@@ -377,11 +409,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others = _apart(meets.select(*_ordered(F.col("pivot"), F.col("node"))).distinct(), labels)
     labels = _merged(labels, _confirm(others.select("a", "b"), profiled, sets))
     released(meets)
-    for likeliest in (True, False):
-        pairs = _list_pairs(postings, labels, profiles, sets, likeliest)
-        labels = _merged(labels, _confirm(pairs, profiled, sets))
-        released(pairs)
-    released(postings, profiles, sets, repeated)
+    pairs = _list_pairs(postings, labels, profiles, sets, True)
+    labels = _merged(labels, _confirm(pairs, profiled, sets))
+    labels = _merged(labels, _list_pairs(postings, labels, profiles, sets, False))
+    released(pairs, postings, profiles, sets, repeated)
 
     placed = classes.select("node", "first").join(labels, "node")
     least = placed.groupBy("comp").agg(F.min("first").alias("component"))
