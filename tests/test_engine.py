@@ -116,7 +116,7 @@ def world(spark):
 
 def bucket(params, table, radius, coords):
     r = 0
-    for a, b, s in zip(params.a[table], params.b[table], params.s):
+    for a, b, s in zip(params.a[table], params.b[table], params.s[params.block(table)]):
         v = (sum(int(x) * c for x, c in zip(a, coords)) + int(b) + params.half * SCALE) // (WIDTH * SCALE) // radius
         x = (v * int(s) + 2**31) % 2**32 - 2**31
         r = (r + x if r + x >= 0 else r + x + 2**32 - 5) % (2**31 - 1)
@@ -176,7 +176,8 @@ def test_iterative_search_equals_the_sequential_model(world):
         if not active:
             break
     part = hits.where("part = 0")
-    found, done = search_iterative(part, p, q, k, ratio, budget, radii)
+    at = lambda i, active: part.where(F.col("radius_id") == i).join(active, "qid", "left_semi")
+    found, done = search_iterative(at, p, q, k, ratio, budget, radii)
     assert done == steps
     assert sorted((r.qid, r.id) for r in found.collect()) == sorted((qid, i) for qid, s in state.items() for i in s)
 
@@ -217,6 +218,8 @@ def test_text_round_trip(spark, grid, tmp_path):
     assert [tuple(r) for r in text.read_ground_truth(spark, f"{tmp_path}/gt", 2, 2).orderBy("qid", "rank").collect()] == [(0, 1, 0.0), (0, 2, 5.0), (1, 1, 1.5), (1, 2, 2.5)]
     with pytest.raises(ValueError):
         text.read_ground_truth(spark, f"{tmp_path}/gt", 3, 2)
+    (tmp_path / "one").write_text("2 1\n9 0.5\n3 1.5\n")
+    assert [tuple(r) for r in text.read_ground_truth(spark, f"{tmp_path}/one", 2, 1).orderBy("qid").collect()] == [(0, 1, 0.5), (1, 1, 1.5)]
     for with_id in (True, False):
         rows = spark.createDataFrame([(0, 1, 7, 1.5, [1, -2]), (0, 2, 8, 2.5, [0, 3]), (1, 1, 9, 0.0, [5, 5])], "qid int, rank int, id long, dist double, coords array<int>")
         text.write_results(rows, f"{tmp_path}/out", with_id)
@@ -225,12 +228,67 @@ def test_text_round_trip(spark, grid, tmp_path):
 
 
 def test_index_round_trip(spark, grid, tmp_path):
-    built = engine.build(grid, LshConfig(k=2, partitions=2))
-    engine.save(built, str(tmp_path))
-    points, params, buckets = engine.load_buckets(spark, str(tmp_path))
-    assert points.count() == 4 and params.count() == sum(p.tables for p in built.params)
-    key = ["part", "radius_id", "table_id", "bucket_id", "id"]
-    assert sorted(map(tuple, buckets.select(key).collect())) == sorted(map(tuple, built.buckets.select(key).collect()))
+    config = LshConfig(k=2, partitions=2, blocks=2, split_rows=2)
+    built = engine.build(grid, config)
+    held = engine.save(built, f"{tmp_path}/index")
+    assert held.config == config and held.radii == built.radii and held.statistics == built.statistics
+    for mine, theirs in zip(held.params, built.params, strict=True):
+        assert all((getattr(mine, x) == getattr(theirs, x)).all() for x in "abs") and mine.bits == theirs.bits and mine.blocks == 2
+    key = ["part", "radius_id", "block_id", "table_id", "bucket_id", "id"]
+    assert sorted(map(tuple, held.buckets.select(key).collect())) == sorted(map(tuple, built.buckets.select(key).collect()))
+    assert sorted(map(tuple, held.points.select("id", "split_start").collect())) == [(1, 0), (2, 2), (3, 2), (4, 4)]
+    with pytest.raises(Exception, match="(?i)exist"):
+        engine.save(built, f"{tmp_path}/index")
+    spark.createDataFrame([(2, 0, 4, 1, "{}")], "d int, t int, n long, n_radii int, config string").write.mode("overwrite").parquet(f"{tmp_path}/index/statistics")
+    with pytest.raises(ValueError, match="not valid: t"):
+        engine.load(spark, f"{tmp_path}/index")
+
+
+def test_vectors_outside_the_domain_fail(spark, grid):
+    built = engine.build(grid, LshConfig(k=2))
+    far = spark.createDataFrame([(0, [10**6, -(10**6)])], "qid int, coords array<int>")
+    with pytest.raises(Exception, match="outside the domain"):
+        engine.search(built, far).collect()
+
+
+def test_exact_neighbours_in_batches(spark):
+    points = spark.createDataFrame(vectors(1, 60), "id long, coords array<int>")
+    asked = spark.createDataFrame(vectors(2, 30), "qid long, coords array<int>")
+    one, many = (sorted(map(tuple, neighbours.exact_neighbours(points, asked, 3, batch=n).collect())) for n in (1000, 4))
+    assert one == many and len(one) == 90
+
+
+def test_splits_by_uneven_starts(spark):
+    r = random.Random(3)
+    starts = sorted({r.choice([r.randint(0, 100), r.randint(10**6, 10**6 + 50), 10**9]) for _ in range(80)})
+    ids = [*starts, *(x + 1 for x in starts), *(r.randint(0, 2 * 10**9) for _ in range(200)), -5]
+    found = candidates.with_splits(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame([(x,) for x in starts], "split_start long")).collect()
+    assert sorted((x.id, x.split_start) for x in found) == sorted((i, max(x for x in starts if x <= i)) for i in ids if i >= starts[0])
+    row = spark.range(1).select(*(vector.split_start(F.lit(i).cast("long"), starts).alias(f"c{k}") for k, i in enumerate(ids))).first()
+    assert list(row) == [max((x for x in starts if x <= i), default=None) for i in ids]
+
+
+def test_command_line_builds_searches_and_reports(spark, tmp_path):
+    from vecloom.__main__ import run
+
+    points, asked = vectors(4, 120), vectors(5, 6)
+    for name, rows in (("ds", points), ("q", asked)):
+        (tmp_path / name).write_text("".join(f"{i + 1} {' '.join(map(str, v))}\n" for i, v in rows))
+    near = [sorted(dist(v, x) for _, x in points)[:1] for _, v in asked]
+    (tmp_path / "gt").write_text("6 1\n" + "".join(f"{i + 1} {d[0]}\n" for i, d in enumerate(near)))
+    names = {"baseDir": "index", "dataSetFileName": "ds", "querySetFileName": "q", "groundTruthFileName": "gt", "localStatResultFile": "report"}
+    values = {k: f"{tmp_path}/{v}" for k, v in names.items()} | {"querySetSize": "6", "kNeighbors": "1", "partNum": "2"}
+    (tmp_path / "site.xml").write_text("<configuration>" + "".join(f"<property><name>{k}</name><value>{v}</value></property>" for k, v in values.items()) + "</configuration>")
+    assert run(spark, ["-b", "-c", f"{tmp_path}/site.xml"]) is None
+    out = run(spark, ["-s", "-c", f"{tmp_path}/site.xml"])
+    assert "missed queries 0" in out and "radii searched" in out and "search " in out and out.count("ratio 1.000000") >= 3 and "SMALLER" not in out
+    assert spark.read.text(f"{tmp_path}/report", wholetext=True).first()[0].strip() == out.strip()
+    both = run(spark, ["-bs", "-c", f"{tmp_path}/site.xml", "-D", f"baseDir={tmp_path}/other", "-D", "partNum=1", "--iterative"])
+    assert "statistics " in both and "build " in both
+    with pytest.raises(ValueError, match="unknown settings: nonsense"):
+        run(spark, ["-b", "-D", "nonsense=1"])
+    with pytest.raises(ValueError, match="no path is set for index"):
+        run(spark, ["-s", "-D", "ratio=2"])
 
 
 def test_random_columns(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vecloom.config import SCALE, WIDTH
 
-#: 2^31 - 1, the modulus of the fold, and 2^32 - 5, by which negative sums are lifted.
+#: 2^31 - 1, the modulus of the fold, and 2^32 - 5, by which negative sums are lifted.
 MODULUS, LIFT = (1 << 31) - 1, (1 << 32) - 5
 TOLERANCE = 1e-6
 
@@ -57,9 +57,12 @@ def fold(values: Column, coefficients: Column) -> Column:
 
 def base_values(coords: Column, projections: Column, half: Column | int) -> Column:
     """For each projection (struct of a: scaled vector, b: scaled shift) the unit-radius bucket number: the floor of
-    the projection, shifted by half the domain, over WIDTH. Larger radii are whole divisions of it."""
+    the projection, shifted by half the domain, over WIDTH. Larger radii are whole divisions of it. Fails at run time
+    for a vector outside the domain, whose number would not fit its bits."""
     half = F.lit(half) if isinstance(half, int) else half
-    return F.transform(projections, lambda p: F.floor((dot(p["a"], coords) + p["b"] + half * SCALE) / F.lit(WIDTH * SCALE)).cast("long"))
+    value = lambda p: F.floor((dot(p["a"], coords) + p["b"] + half * SCALE) / F.lit(WIDTH * SCALE)).cast("long")
+    inside = lambda v: F.when((v >= 0) & (v * WIDTH < 2 * half), v).otherwise(F.raise_error(F.lit("a vector lies outside the domain of the hash parameters")).cast("long"))
+    return F.transform(projections, lambda p: let(value(p), inside))
 
 
 def at_radius(base: Column, radius: Column) -> Column:
@@ -98,8 +101,16 @@ def partition_of(id_: Column, partitions: int) -> Column:
 
 
 def split_start(id_: Column, starts: list[int]) -> Column:
-    """The greatest start not above id, by position in a sorted list."""
-    return F.array_max(F.filter(F.array(*(F.lit(s).cast("long") for s in sorted(starts))), lambda s: s <= id_))
+    """The greatest start not above id, null before the first: a binary search, unrolled, in a sorted list."""
+    held = F.array(*(F.lit(x).cast("long") for x in sorted(starts)))
+    at, step = F.lit(0), 1 << max(len(starts), 1).bit_length()
+    while step := step >> 1:  # at: how many starts are known not to lie above id
+        at = let(at, _stepped(held, id_, step))
+    return F.get(held, at - 1)
+
+
+def _stepped(held: Column, id_: Column, step: int) -> Callable[[Column], Column]:
+    return lambda at: F.when(F.get(held, at + (step - 1)) <= id_, at + step).otherwise(at)
 
 
 def record_equal(pairs: list[tuple[Column, Column]]) -> Column:

@@ -26,6 +26,23 @@ def first_met(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.groupBy(*by, "id").agg(F.min(F.struct("radius_id", "table_id", "radius")).alias("f")).select(*by, "id", "f.radius_id", "f.table_id", "f.radius")
 
 
-def split_ranges(starts: DataFrame) -> DataFrame:
-    """split_start and split_end (exclusive; null for the last) of sorted starts, a row for each data split."""
-    return starts.select("split_start", F.lead("split_start").over(Window.orderBy("split_start")).alias("split_end"))
+def with_splits(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Adds split_start, the greatest start (starts: split_start, distinct) not above id; rows before the first go.
+    Starts and ids are dealt to cells of equal width, as many as there are starts; a cell without an own start below
+    an id hands on the greatest of the cells before, of which there is a row for each cell. So no id meets more than
+    the starts of its cell."""
+    low, high, n = starts.agg(F.min("split_start"), F.max("split_start"), F.count(F.lit(1))).first()
+    if not n:
+        return rows.limit(0).withColumn("split_start", F.lit(None).cast("long"))
+    width = max(1, -(-(high - low + 1) // n))
+    cell = lambda x: F.least(F.floor((x - low) / F.lit(width)), F.lit(n)).cast("long")
+    listed = starts.withColumn("cell", cell(F.col("split_start"))).groupBy("cell").agg(F.array_sort(F.collect_list("split_start")).alias("starts"), F.max("split_start").alias("last"))
+    cells = starts.sparkSession.range(n + 1).withColumnRenamed("id", "cell").join(listed, "cell", "left")
+    group = F.floor(F.col("cell") / 4096)
+    before = lambda by: Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = cells.withColumn("group", group)
+    tops = grouped.groupBy("group").agg(F.max("last").alias("top")).withColumn("far", F.max("top").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)))
+    known = grouped.join(tops.select("group", "far"), "group").withColumn("handed", F.coalesce(F.max("last").over(before(["group"])), "far")).select("cell", "starts", "handed")
+    found = rows.where(F.col("id") >= low).withColumn("cell", cell(F.col("id"))).join(known, "cell")
+    own = F.array_max(F.filter(F.coalesce("starts", F.array().cast("array<bigint>")), lambda x: x <= F.col("id")))
+    return found.withColumn("split_start", F.coalesce(own, "handed")).drop("cell", "starts", "handed")

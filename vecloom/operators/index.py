@@ -28,9 +28,10 @@ def base_buckets(vectors: DataFrame, params: DataFrame, parameters: int) -> Data
     return hashed.withColumn("base", base_values(F.col("coords"), F.col("projections"), F.col("half"))).drop("projections", "half")
 
 
-def buckets(based: DataFrame, radii: list[int]) -> DataFrame:
-    """A row for each radius: adds radius_id, radius and bucket_id; drops base, s and coords."""
-    rungs = F.array(*(F.struct(F.lit(i).alias("radius_id"), F.lit(r).cast("long").alias("radius")) for i, r in enumerate(radii)))
+def buckets(based: DataFrame, radii: list[int], only: int | None = None) -> DataFrame:
+    """A row for each radius, or for the one at place only: adds radius_id, radius and bucket_id; drops base, s and
+    coords."""
+    rungs = F.array(*(F.struct(F.lit(i).alias("radius_id"), F.lit(r).cast("long").alias("radius")) for i, r in enumerate(radii) if only in (None, i)))
     rows = based.withColumn("rung", F.explode(rungs)).select("*", "rung.radius_id", "rung.radius")
     return rows.withColumn("bucket_id", fold(at_radius(F.col("base"), F.col("radius")), F.col("s"))).drop("rung", "base", "s", "coords")
 
@@ -40,14 +41,16 @@ def bucket_lists(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part", "radius_id", "table_id", "bucket_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def write_index(points: DataFrame, params: DataFrame, rows: DataFrame, path: str) -> None:
-    """points, params and buckets under path; buckets by part, radius and table, so that a search reads only what
-    it needs. What was there is replaced."""
-    points.write.mode("overwrite").partitionBy("part").parquet(f"{path}/points")
-    params.write.mode("overwrite").parquet(f"{path}/params")
-    rows.repartition("part", "radius_id", "table_id", "bucket_id").write.mode("overwrite").partitionBy("part", "radius_id", "table_id").parquet(f"{path}/buckets")
+def store(path: str, points: DataFrame, params: DataFrame, rows: DataFrame, meta: DataFrame, splits: DataFrame) -> None:
+    """points, params, buckets, statistics and the starts of data splits under path. Points lie by part and split,
+    buckets by radius, block and part, so that a search reads only what it needs. Fails if something is there."""
+    meta.coalesce(1).write.mode("errorifexists").parquet(f"{path}/statistics")
+    splits.coalesce(1).write.mode("errorifexists").parquet(f"{path}/splits")
+    params.write.mode("errorifexists").partitionBy("part", "block_id").parquet(f"{path}/params")
+    points.repartition("part", "split_start").write.mode("errorifexists").partitionBy("part", "split_start").parquet(f"{path}/points")
+    rows.repartition("radius_id", "block_id", "part", "table_id", F.pmod("bucket_id", F.lit(16))).write.mode("errorifexists").partitionBy("radius_id", "block_id", "part").parquet(f"{path}/buckets")
 
 
-def read_index(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """points, params and buckets; filters on part, radius_id and table_id prune files."""
-    return tuple(spark.read.parquet(f"{path}/{x}") for x in ("points", "params", "buckets"))
+def block_sizes(params: DataFrame) -> DataFrame:
+    """part, block_id and tables: how many tables each block holds."""
+    return params.groupBy("part", "block_id").agg(F.count(F.lit(1)).alias("tables"))

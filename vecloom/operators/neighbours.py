@@ -8,23 +8,35 @@ from pyspark.sql.window import Window
 
 from vecloom.functions.vector import l2
 
+#: Queries that are broadcast, or held beside each point, at once.
+BATCH = 10_000
+
 
 def with_distance(pairs: DataFrame, points: DataFrame, queries: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """pairs (qid, id, ...) with coords of the point and dist to the query; queries are as few as a batch."""
-    asked = F.broadcast(queries.select("qid", F.col("coords").alias("asked")))
+    """pairs (qid, id, ...) with coords of the point and dist to the query. A batch of queries is broadcast; more join."""
+    asked = queries.select("qid", F.col("coords").alias("asked"))
+    asked = F.broadcast(asked) if queries.limit(BATCH + 1).count() <= BATCH else asked
     return pairs.join(points, on or ["id"]).join(asked, "qid").withColumn("dist", l2(F.col("coords"), F.col("asked"))).drop("asked")
 
 
-def nearest(rows: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query, by distance and id: adds rank. The engine cuts to k before and after its shuffle."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id"))).where(F.col("rank") <= k)
+def nearest(rows: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest of each query (and of by), by distance and id: adds rank. The engine cuts to k before and after
+    its shuffle."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid", *by).orderBy("dist", "id"))).where(F.col("rank") <= k)
 
 
-def exact_neighbours(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, rank, id, dist by comparing every point with a stated, small batch of queries, which is broadcast."""
-    batch = F.broadcast(queries.agg(F.collect_list(F.struct("qid", "coords")).alias("asked")))
-    rows = points.join(batch).withColumn("q", F.explode("asked"))
-    return nearest(rows.select("q.qid", "id", l2(F.col("coords"), F.col("q.coords")).alias("dist")), k)
+def exact_neighbours(points: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), batch: int = BATCH) -> DataFrame:
+    """qid, rank, id, dist by comparing every point with a stated set of queries, which is broadcast batch by batch.
+    by: columns of points within which the nearest are sought."""
+    batches = max(1, -(-queries.count() // batch))
+    kept = None
+    for i in range(batches):
+        mine = queries.where(F.pmod(F.xxhash64("qid"), F.lit(batches)) == i) if batches > 1 else queries
+        held = F.broadcast(mine.agg(F.collect_list(F.struct("qid", "coords")).alias("asked")))  # of near batch queries
+        rows = points.join(held).withColumn("q", F.explode("asked")).select(*by, "q.qid", "id", l2(F.col("coords"), F.col("q.coords")).alias("dist"))
+        near = nearest(rows, k, by)
+        kept = near if kept is None else kept.unionByName(near)
+    return kept
 
 
 def ratios(results: DataFrame, truth: DataFrame, query_count: int) -> DataFrame:
@@ -39,5 +51,7 @@ def ratios(results: DataFrame, truth: DataFrame, query_count: int) -> DataFrame:
 
 
 def summary(scored: DataFrame, k: int, query_count: int) -> DataFrame:
-    """One row: average_ratio over the queries answered, and missed, the queries without k results."""
-    return scored.agg(F.avg("ratio").alias("average_ratio"), (F.lit(query_count) - F.count_if(F.col("found") == k)).alias("missed"))
+    """One row: average_ratio over the queries answered, strict_ratio (their sum over all queries asked), and missed,
+    the queries without k results."""
+    missed = (F.lit(query_count) - F.count_if(F.col("found") == k)).alias("missed")
+    return scored.agg(F.avg("ratio").alias("average_ratio"), (F.sum("ratio") / query_count).alias("strict_ratio"), missed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.vector import max_abs
@@ -23,3 +23,12 @@ def radius_ladder(stats: DataFrame, ratio: int) -> DataFrame:
     ids = stats.select(F.explode(F.sequence(F.lit(0), F.col("n_radii") - 1)).alias("radius_id"))
     radius = F.pow(F.lit(float(ratio)), "radius_id").cast("long")
     return ids.select("radius_id", radius.alias("radius"), (radius * ratio).alias("limit"))
+
+
+def read_statistics(spark: SparkSession, path: str) -> Row:
+    """The stored row of statistics; ValueError if a number is below 1."""
+    row = spark.read.parquet(path).first()
+    wrong = [c for c in ("d", "t", "n", "n_radii") if row is None or row[c] is None or row[c] < 1]
+    if wrong:
+        raise ValueError(f"stored statistics are not valid: {', '.join(wrong)}")
+    return row

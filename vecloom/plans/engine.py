@@ -1,9 +1,11 @@
-"""Build an index, search it, or both, with parameters derived from the data."""
+"""Build an index, store it, search it, or all of these, with parameters derived from the data."""
 
 from __future__ import annotations
 
+import json
 import time
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,67 +13,132 @@ from pyspark.sql import functions as F
 from vecloom.config import LshConfig
 from vecloom.operators import index as ix
 from vecloom.operators.candidates import collide
-from vecloom.operators.params import LshParams, derived_params, params_table
-from vecloom.operators.stats import statistics
+from vecloom.operators.params import LshParams, derived_params, params_from, params_table
+from vecloom.operators.stats import read_statistics, statistics
 from vecloom.plans.iterative import search_iterative
 from vecloom.plans.partitioned import search_partitioned
+from vecloom.plans.scratch import scratch_path
 
 
 @dataclass
 class Index:
-    """An index in memory of the plan: nothing is computed until it is written or searched."""
+    """An index: of the plan, where nothing is computed until it is stored or searched, or stored under path."""
 
     config: LshConfig
+    statistics: dict[str, int]
     points: DataFrame
     params: list[LshParams]
-    radii: list[int]
     buckets: DataFrame
-    seconds: dict[str, float]
+    path: str | None = None
+
+    @property
+    def radii(self) -> list[int]:
+        return [self.config.ratio**i for i in range(self.statistics["n_radii"])]
+
+    @property
+    def budgets(self) -> dict[int, int]:
+        return {p.part: self.config.budget(p.tables) for p in self.params}
+
+
+@dataclass
+class Answer:
+    """results: qid, rank, id, dist. radii: how many were searched."""
+
+    results: DataFrame
+    radii: int
 
 
 def build(points: DataFrame, config: LshConfig, queries: DataFrame | None = None) -> Index:
     """Statistics of points, and of queries, whose coordinates must lie in the same domain; then parameters for each
     partition, by its own number of points; then buckets for all radii."""
-    began = time.perf_counter()
     every = points if queries is None else points.select("coords").unionByName(queries.select("coords"))
-    d, t, _, n_radii = statistics(every, config.ratio).first()
-    placed = ix.with_part(points, config.partitions)
+    found = statistics(every, config.ratio).first().asDict()
+    placed = ix.with_part(points, config.partitions).withColumn("split_start", F.col("id") - F.pmod("id", F.lit(config.split_rows)))
     sizes = {r[0]: r[1] for r in placed.groupBy("part").count().collect()}  # a row for each partition
-    params = [derived_params(p, d, t, n, config.ratio, config.seed) for p, n in sorted(sizes.items())]
-    radii = [config.ratio**i for i in range(n_radii)]
-    table = params_table(points.sparkSession, params)
-    rows = ix.buckets(ix.base_buckets(placed, table, sum(p.a.size for p in params)), radii)
-    return Index(config, placed, params, radii, rows, {"statistics": time.perf_counter() - began})
+    params = [derived_params(p, found["d"], found["t"], n, config.ratio, config.seed, config.blocks) for p, n in sorted(sizes.items())]
+    return from_parameters(placed, params, config, found | {"n": sum(sizes.values())})
 
 
-def query_hits(index: Index, queries: DataFrame) -> DataFrame:
+def from_parameters(placed: DataFrame, params: list[LshParams], config: LshConfig, found: dict[str, int]) -> Index:
+    """An index of points with part and split_start by parameters that are given."""
+    table = params_table(placed.sparkSession, params)
+    based = ix.base_buckets(placed.drop("split_start"), table, sum(p.a.size for p in params))
+    out = Index(config, found, placed, params, based)
+    return replace(out, buckets=ix.buckets(based, out.radii))
+
+
+def save(index: Index, path: str) -> Index:
+    """Stores points, parameters, buckets, statistics, splits and settings; the index that reads them. Fails if path
+    holds one."""
+    spark = index.points.sparkSession
+    meta = spark.createDataFrame([(*(int(index.statistics[c]) for c in ("d", "t", "n", "n_radii")), json.dumps(asdict(index.config)))], "d int, t int, n long, n_radii int, config string")
+    splits = index.points.select("split_start").distinct()
+    ix.store(path, index.points, params_table(spark, index.params), index.buckets.drop("radius"), meta, splits)
+    return load(spark, path)
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """The index stored under path, with validated statistics and parameters."""
+    meta = read_statistics(spark, f"{path}/statistics").asDict()
+    config = LshConfig(**json.loads(meta.pop("config")))
+    params = params_from(spark.read.parquet(f"{path}/params"))
+    return Index(config, meta, spark.read.parquet(f"{path}/points"), params, spark.read.parquet(f"{path}/buckets"), path)
+
+
+def based_queries(index: Index, queries: DataFrame) -> DataFrame:
+    """part, table_id, qid and base of queries, in every partition."""
     spark = queries.sparkSession
-    table = params_table(spark, index.params)
-    asked = queries.join(F.broadcast(spark.createDataFrame([(p.part,) for p in index.params], "part int")))
-    based = ix.base_buckets(asked, table, sum(p.a.size for p in index.params))
-    return collide(ix.buckets(based, index.radii), index.buckets.drop("radius"))
+    parts = F.broadcast(spark.createDataFrame([(p.part,) for p in index.params], "part int"))
+    return ix.base_buckets(queries.join(parts), params_table(spark, index.params), sum(p.a.size for p in index.params))
 
 
-def search(index: Index, queries: DataFrame, iterative: bool = False, strict: bool = False) -> DataFrame:
-    """qid, rank, id, dist. The iterative search takes an index of one partition."""
+def query_hits(index: Index, queries: DataFrame) -> DataFrame:
+    """Collisions at every radius."""
+    return collide(ix.buckets(based_queries(index, queries), index.radii), index.buckets)
+
+
+def hits_by_radius(index: Index, queries: DataFrame) -> Callable[[int, DataFrame], DataFrame]:
+    """Collisions at one radius of the queries still active. Buckets are read by radius; those of an index that is not
+    stored are written to the shared folder first, once."""
+    buckets = index.buckets
+    if index.path is None:
+        path = scratch_path(queries.sparkSession)
+        buckets.write.partitionBy("radius_id").parquet(path)
+        buckets = queries.sparkSession.read.parquet(path)
+    based = based_queries(index, queries)
+
+    def at(i: int, active: DataFrame) -> DataFrame:
+        mine = ix.buckets(based.join(active, "qid", "left_semi"), index.radii, i)
+        return collide(mine, buckets.where(F.col("radius_id") == i))
+
+    return at
+
+
+def answer(index: Index, queries: DataFrame, iterative: bool = False, strict: bool = False) -> Answer:
+    """The nearest of queries. The iterative search takes an index of one partition."""
     config = index.config
-    budgets = {p.part: config.budget(p.tables) for p in index.params}
-    hits = query_hits(index, queries)
     if iterative:
         if config.partitions != 1:
             raise ValueError("the iterative search takes one partition")
-        return search_iterative(hits, index.points, queries, config.k, config.ratio, budgets[0], index.radii)[0]
-    return search_partitioned(hits, index.points, queries, config.k, config.ratio, budgets, index.radii, strict)
+        return Answer(*search_iterative(hits_by_radius(index, queries), index.points, queries, config.k, config.ratio, index.budgets[0], index.radii))
+    points = index.points.select("part", "id", "coords")
+    return Answer(search_partitioned(query_hits(index, queries), points, queries, config.k, config.ratio, index.budgets, index.radii, strict), len(index.radii))
+
+
+def search(index: Index, queries: DataFrame, iterative: bool = False, strict: bool = False) -> DataFrame:
+    """qid, rank, id, dist."""
+    return answer(index, queries, iterative, strict).results
 
 
 def build_and_search(points: DataFrame, queries: DataFrame, config: LshConfig, **how: bool) -> DataFrame:
     return search(build(points, config, queries), queries, **how)
 
 
-def save(index: Index, path: str) -> None:
-    """Writes points, parameters and buckets under path."""
-    ix.write_index(index.points, params_table(index.points.sparkSession, index.params), index.buckets, path)
-
+class Phases(dict):
+    """Seconds by phase: phases.timed("build", action)."""
 
-def load_buckets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return ix.read_index(spark, path)
+    def timed(self, phase: str, action: Callable):
+        began = time.perf_counter()
+        out = action()
+        self[phase] = round(time.perf_counter() - began, 3)
+        return out

@@ -7,6 +7,8 @@ lost executor loses nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,12 @@ def unfinished(active: DataFrame, state: DataFrame, k: int) -> DataFrame:
     return active.join(full, "qid", "left_anti")
 
 
-def search_iterative(hits: DataFrame, points: DataFrame, queries: DataFrame, k: int, ratio: int, budget: int, radii: list[int]) -> tuple[DataFrame, int]:
-    """qid, rank, id, dist, and the number of radii searched, from hits (radius_id, table_id, qid, id)."""
+def search_iterative(hits_at: Callable[[int, DataFrame], DataFrame], points: DataFrame, queries: DataFrame, k: int, ratio: int, budget: int, radii: list[int]) -> tuple[DataFrame, int]:
+    """qid, rank, id, dist, and the number of radii searched. hits_at(radius_id, active): the collisions (table_id, qid,
+    id) at one radius of the queries (qid) that are still active; no other radius is hashed or read for it."""
     active, state, done = queries.select("qid"), None, 0
     for i, radius in enumerate(radii):
-        mine = hits.where(F.col("radius_id") == i).join(active, "qid", "left_semi")
-        pairs = within_budget(mine, budget, ["qid"]).select("qid", "id").distinct()
+        pairs = within_budget(hits_at(i, active), budget, ["qid"]).select("qid", "id").distinct()
         near = with_distance(pairs, points, queries).where(F.col("dist") < ratio * radius).select("qid", "id", "dist")
         state, done = checkpointed(merge_state(state, near, k)), i + 1
         active = checkpointed(unfinished(active, state, k))

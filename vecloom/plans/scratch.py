@@ -1,20 +1,33 @@
-"""Checkpoints in the folder that the session names."""
+"""Checkpoints and tables in the folder that the session names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names. Local sessions that name none get a folder of their own; on a cluster it must
+    be set."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="vecloom-")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/vecloom-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut. Local sessions that name no folder get one of their own; on a cluster it must be set."""
+    """df with its lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not known:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            known = tempfile.mkdtemp(prefix="vecloom-")
-        context.setCheckpointDir(known)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

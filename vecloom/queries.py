@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,11 +11,13 @@ from pyspark.sql import functions as F
 from vecloom.config import SCALE, WIDTH, LshConfig
 from vecloom.functions import formulas, random, vector
 from vecloom.operators import candidates, index, neighbours
-from vecloom.operators.params import make_params, params_sql, params_table
-from vecloom.operators.stats import radius_ladder, statistics
+from vecloom.operators.params import make_params, params_from, params_sql, params_table
+from vecloom.operators.stats import radius_ladder, read_statistics, statistics
+from vecloom.plans import engine
 from vecloom.plans.engine import build_and_search
-from vecloom.plans.iterative import merge_state, search_iterative, unfinished
+from vecloom.plans.iterative import merge_state, unfinished
 from vecloom.plans.partitioned import search_partitioned
+from vecloom.plans.scratch import checkpointed, scratch_path
 from vecloom.sources import tables, text
 
 CONFIG = LshConfig(k=10, ratio=2, query_count=50, partitions=3, blocks=2, seed=1)
@@ -25,6 +26,8 @@ CONFIG = LshConfig(k=10, ratio=2, query_count=50, partitions=3, blocks=2, seed=1
 ONE = [make_params(0, 64, 64, 6, 5, CONFIG.seed)]
 PARTS = [make_params(p, 64, 64, 4, 4, CONFIG.seed) for p in range(CONFIG.partitions)]
 RADII = [2**i for i in range(9)]
+#: The same tables in two blocks, each with fold coefficients of its own.
+BLOCKS = [make_params(0, 64, 64, 6, 5, CONFIG.seed, blocks=2)]
 SIZE = sum(p.a.size for p in (*ONE, *PARTS))
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -192,24 +195,58 @@ def hash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("radius_id", "table_id", "bucket_id", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query(f"WITH {ONE_SQL} SELECT radius_id, table_id, bucket_id, count(*) AS n FROM pb GROUP BY ALL")
+def _index(spark: SparkSession, sf_dir: str, params, partitions: int = 1) -> engine.Index:
+    config = replace(CONFIG, partitions=partitions, blocks=params[0].blocks, split_rows=100)
+    own = index.with_part(points(spark, sf_dir), partitions).withColumn("split_start", F.col("id") - F.pmod("id", F.lit(config.split_rows)))
+    return engine.from_parameters(own, params, config, {"d": 64, "t": 64, "n": own.count(), "n_radii": len(RADII)})
+
+
+def _stored(spark: SparkSession, sf_dir: str, params, partitions: int = 1) -> engine.Index:
+    """Stored in the shared folder and loaded again."""
+    return engine.save(_index(spark, sf_dir, params, partitions), scratch_path(spark))
+
+
+@query(f"WITH {ONE_SQL} SELECT radius_id, 0 AS block_id, table_id, bucket_id, count(*) AS n FROM pb GROUP BY ALL")
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
-    own = index.with_part(points(spark, sf_dir), 1)
-    index.write_index(own, params_table(spark, ONE), index.buckets(_one(spark, points(spark, sf_dir)), RADII).drop("radius"), path)
-    return index.read_index(spark, path)[2].groupBy("radius_id", "table_id", "bucket_id").agg(F.count(F.lit(1)).alias("n"))
+    return _stored(spark, sf_dir, ONE).buckets.groupBy("radius_id", "block_id", "table_id", "bucket_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ONE_SQL.replace(params_sql(ONE), params_sql(BLOCKS))} SELECT radius_id, least(table_id // 2, 1)::INTEGER AS block_id, table_id, bucket_id, count(*) AS n FROM pb GROUP BY ALL")
+def block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash tables stored in two blocks, each read on its own."""
+    rows = _stored(spark, sf_dir, BLOCKS).buckets
+    both = rows.where("block_id = 0").unionByName(rows.where("block_id = 1"))
+    return both.groupBy("radius_id", "block_id", "table_id", "bucket_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_lsh(BLOCKS)}, b AS (SELECT part, least(table_id // 2, 1)::INTEGER AS block_id, count(DISTINCT table_id) AS tables FROM lsh GROUP BY ALL) SELECT *, sum(tables) OVER ()::BIGINT AS all_tables FROM b")
+def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tables each stored block holds, and all blocks together."""
+    rows = index.block_sizes(spark.read.parquet(f"{_stored(spark, sf_dir, BLOCKS).path}/params"))
+    return rows.join(F.broadcast(rows.agg(F.sum("tables").alias("all_tables"))))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder where driver and executors both see it."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        import uuid
+@query(f"WITH {_lsh(PARTS)} SELECT part, table_id, proj_id, list_sum(a)::BIGINT AS total, b, s, half FROM lsh")
+def params_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters stored, read as parameters, and as a table again."""
+    read = params_from(spark.read.parquet(f"{_stored(spark, sf_dir, PARTS, CONFIG.partitions).path}/params"))
+    rows = params_table(spark, read).select("part", "table_id", "half", F.posexplode("projections").alias("proj_id", "p"), "s")
+    return rows.select("part", "table_id", "proj_id", vector._total(F.col("p.a")).alias("total"), F.col("p.b").alias("b"), F.get("s", "proj_id").alias("s"), "half")
 
-        return f"{known}/vecloom-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="vecloom-")
+
+@query(f"WITH {PQ} SELECT 64 AS d, 64 AS t, count(*) AS n, {len(RADII)} AS n_radii FROM p")
+def statistics_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_statistics(spark, f"{_stored(spark, sf_dir, ONE).path}/statistics")
+    return spark.createDataFrame([(read.d, read.t, read.n, read.n_radii)], "d int, t int, n long, n_radii int")
+
+
+@query(f"WITH {PQ} SELECT {PART.replace('(((id', '((((id').replace('INTEGER', 'INTEGER)')} AS part, (id - id % 100)::BIGINT AS split_start, count(*) AS n, min(id) AS first, sum(list_sum(coords))::BIGINT AS total FROM p GROUP BY ALL")
+def split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points stored by partition and data split; each split is read on its own."""
+    held = _stored(spark, sf_dir, PARTS, CONFIG.partitions)
+    starts = spark.read.parquet(f"{held.path}/splits").withColumn("split_start", F.col("split_start").cast("long"))
+    rows = held.points.withColumn("split_start", F.col("split_start").cast("long")).join(starts, "split_start", "left_semi")
+    return rows.groupBy("part", "split_start").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.sum(vector._total(F.col("coords"))).alias("total"))
 
 
 # --- candidates ----------------------------------------------------------------------------------------------------
@@ -241,16 +278,23 @@ STARTS = [0, 60, 200, 333, 450]
 @query(f"WITH s AS (SELECT unnest({STARTS})::BIGINT AS split_start) SELECT vec_id AS id, split_start, vec_id - split_start AS relative FROM embeddings ASOF JOIN s ON vec_id >= split_start")
 def split_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"))
-    starts = candidates.split_ranges(spark.createDataFrame([(s,) for s in STARTS], "split_start long"))
-    inside = (F.col("id") >= F.col("split_start")) & (F.col("split_end").isNull() | (F.col("id") < F.col("split_end")))
-    return ids.join(F.broadcast(starts), inside).select("id", "split_start", (F.col("id") - F.col("split_start")).alias("relative"))
+    found = candidates.with_splits(ids, spark.createDataFrame([(s,) for s in STARTS], "split_start long"))
+    return found.select("id", "split_start", (F.col("id") - F.col("split_start")).alias("relative"))
+
 
+@query("WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey AS id FROM lineitem), s AS (SELECT DISTINCT p_partkey AS split_start FROM part WHERE p_size < 10) SELECT l_orderkey, l_linenumber, split_start, id - split_start AS relative FROM l ASOF JOIN s ON id >= split_start")
+def split_asof_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders by the greatest of many, unevenly spread starts."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("id"))
+    starts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size < 10").select(F.col("p_partkey").alias("split_start")).distinct()
+    return candidates.with_splits(rows, starts).select("l_orderkey", "l_linenumber", "split_start", (F.col("id") - F.col("split_start")).alias("relative"))
 
-@query(f"WITH {ONE_SQL}, {HITS}, c AS (SELECT DISTINCT qid, id FROM hits WHERE radius_id <= 5) SELECT (SELECT max(x) FROM unnest({STARTS}) t(x) WHERE x <= id)::BIGINT AS split_start, qid, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM c GROUP BY ALL")
+
+@query(f"WITH {ONE_SQL}, {HITS}, c AS (SELECT DISTINCT radius_id, qid, id FROM hits) SELECT radius_id, (SELECT max(x) FROM unnest({STARTS}) t(x) WHERE x <= id)::BIGINT AS split_start, qid, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM c GROUP BY ALL")
 def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _hits(spark, sf_dir).where("radius_id <= 5").select("qid", "id").distinct().withColumn("split_start", vector.split_start(F.col("id"), STARTS))
+    found = _hits(spark, sf_dir).select("radius_id", "qid", "id").distinct().withColumn("split_start", vector.split_start(F.col("id"), STARTS))
     ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
-    return found.groupBy("split_start", "qid").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
+    return found.groupBy("radius_id", "split_start", "qid").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
 
 
 NEAR = f"near AS (SELECT c.qid, c.id, c.radius, {_l2('p.coords', 'q.coords')} AS dist FROM {{}} c JOIN p USING (id) JOIN q ON q.qid = c.qid)"
@@ -280,13 +324,9 @@ def exact_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EXACT)
 def topk_partial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of each partition first, then of all."""
+    """The nearest of each partition first, then of all, in one scan."""
     own = index.with_part(points(spark, sf_dir), CONFIG.partitions)
-    parts = [neighbours.exact_neighbours(own.where(F.col("part") == p), asked(spark, sf_dir), CONFIG.k).drop("rank") for p in range(CONFIG.partitions)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return _rounded(neighbours.nearest(every, CONFIG.k))
+    return _rounded(neighbours.nearest(neighbours.exact_neighbours(own, asked(spark, sf_dir), CONFIG.k, by=("part",)).drop("rank"), CONFIG.k))
 
 
 def _partitioned_sql(strict: bool) -> str:
@@ -319,12 +359,13 @@ def search_partitioned_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_partitioned(spark, sf_dir, True))
 
 
-def _iterative_ctes(radii: list[int]) -> str:
-    """The loop unrolled: s0, s1, ... are the states, a0, a1, ... the queries still active before each radius."""
+def _iterative_ctes(radii: list[int], all_active: bool = False) -> str:
+    """The loop unrolled: s0, s1, ... are the states, a0, a1, ... the queries still active before each radius.
+    all_active: every query goes on."""
     out = ["a0 AS (SELECT qid FROM q)", "s_ AS (SELECT 0 AS qid, 0::BIGINT AS id, 0.0::DOUBLE AS dist WHERE false)"]
     before = "s_"
     for i, r in enumerate(radii):
-        out.append(f"c{i} AS (SELECT DISTINCT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY table_id, id) AS pos FROM hits WHERE radius_id = {i} AND qid IN (SELECT qid FROM a{i})) WHERE pos <= {B1})")
+        out.append(f"c{i} AS (SELECT DISTINCT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY table_id, id) AS pos FROM hits WHERE radius_id = {i} {"" if all_active else f"AND qid IN (SELECT qid FROM a{i})"}) WHERE pos <= {B1})")
         out.append(f"n{i} AS (SELECT c.qid, c.id, {_l2('p.coords', 'q.coords')} AS dist FROM c{i} c JOIN p USING (id) JOIN q ON q.qid = c.qid)")
         out.append(f"s{i} AS (SELECT qid, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (SELECT qid, id, dist FROM {before} UNION SELECT qid, id, dist FROM n{i} WHERE dist < {2 * r})) WHERE rank <= 10)")
         out.append(f"a{i + 1} AS (SELECT qid FROM a{i} WHERE qid NOT IN (SELECT qid FROM s{i} GROUP BY qid HAVING count(*) >= 10))")
@@ -337,7 +378,19 @@ ITER_SQL = f"WITH {ONE_SQL}, {HITS.replace('AS (', 'AS MATERIALIZED (', 1)}, "
 
 @query(f"{ITER_SQL}{_iterative_ctes(RADII)} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, id)::INTEGER AS rank, id, round(dist, 6) AS dist FROM s{len(RADII) - 1}")
 def search_iteratively(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(search_iterative(_hits(spark, sf_dir), points(spark, sf_dir), asked(spark, sf_dir), CONFIG.k, CONFIG.ratio, B1, RADII)[0])
+    return _rounded(engine.search(_index(spark, sf_dir, ONE), asked(spark, sf_dir), iterative=True))
+
+
+@query(_partitioned_sql(False))
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partitioned search of an index that was stored and loaded."""
+    return _rounded(engine.search(_stored(spark, sf_dir, PARTS, CONFIG.partitions), asked(spark, sf_dir)))
+
+
+@query(f"{ITER_SQL}{_iterative_ctes(RADII)} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, id)::INTEGER AS rank, id, round(dist, 6) AS dist FROM s{len(RADII) - 1}")
+def stored_search_iteratively(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The iterative search of a stored index, of which each step reads one radius."""
+    return _rounded(engine.search(_stored(spark, sf_dir, ONE), asked(spark, sf_dir), iterative=True))
 
 
 def _derived(spark: SparkSession, sf_dir: str, **how: bool) -> DataFrame:
@@ -361,26 +414,35 @@ def search_iteratively_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_derived(spark, sf_dir, iterative=True))
 
 
-def _two_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = None
-    for i in (5, 6):
-        pairs = candidates.within_budget(_hits(spark, sf_dir).where(F.col("radius_id") == i), B1, ["qid"]).select("qid", "id").distinct()
-        near = neighbours.with_distance(pairs, points(spark, sf_dir), asked(spark, sf_dir)).where(F.col("dist") < 2 * RADII[i])
-        state = merge_state(state, near.select("qid", "id", "dist"), CONFIG.k)
-    return state
+def _states(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """What is known of every query after each radius, none of them finished."""
+    own, queries_, state, out = _index(spark, sf_dir, ONE), asked(spark, sf_dir), None, []
+    at, every = engine.hits_by_radius(own, queries_), queries_.select("qid")
+    for i, radius in enumerate(RADII):
+        pairs = candidates.within_budget(at(i, every), B1, ["qid"]).select("qid", "id").distinct()
+        near = neighbours.with_distance(pairs, own.points, queries_).where(F.col("dist") < 2 * radius)
+        state = checkpointed(merge_state(state, near.select("qid", "id", "dist"), CONFIG.k))
+        out.append(state)
+    return out
 
 
-TWO = f"WITH {ONE_SQL}, {HITS}, " + ", ".join(f"c{i} AS (SELECT DISTINCT qid, id, radius FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY table_id, id) AS pos FROM hits WHERE radius_id = {i}) WHERE pos <= {B1}), n{i} AS (SELECT c.qid, c.id, c.radius, {_l2('p.coords', 'q.coords')} AS dist FROM c{i} c JOIN p USING (id) JOIN q ON q.qid = c.qid), k{i} AS (SELECT qid, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS r FROM n{i} WHERE dist < 2 * radius) WHERE r <= 10)" for i in (5, 6)) + ", x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (SELECT * FROM k5 UNION SELECT qid, id, dist FROM n6 WHERE dist < 2 * radius))"
+def _every(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0].withColumn("radius_id", F.lit(0))
+    for i, part in enumerate(parts[1:], 1):
+        out = out.unionByName(part.withColumn("radius_id", F.lit(i)))
+    return out
 
 
-@query(f"{TWO} SELECT qid, rank::INTEGER AS rank, id, round(dist, 6) AS dist FROM x WHERE rank <= 10")
+@query(f"{ITER_SQL}{_iterative_ctes(RADII, True)} " + " UNION ALL ".join(f"SELECT {i} AS radius_id, qid, row_number() OVER (PARTITION BY qid ORDER BY dist, id)::INTEGER AS rank, id, round(dist, 6) AS dist FROM s{i}" for i in range(len(RADII))))
 def state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_two_states(spark, sf_dir))
+    states = _every(_states(spark, sf_dir))
+    return states.select("radius_id", "qid", "rank", "id", F.round("dist", 6).alias("dist"))
 
 
-@query(f"{TWO} SELECT qid FROM q WHERE qid NOT IN (SELECT qid FROM x WHERE rank <= 10 GROUP BY qid HAVING count(*) >= 10)")
+@query(f"{ITER_SQL}{_iterative_ctes(RADII, True)} " + " UNION ALL ".join(f"SELECT {i} AS radius_id, qid FROM q WHERE qid NOT IN (SELECT qid FROM s{i} GROUP BY qid HAVING count(*) >= 10)" for i in range(len(RADII))))
 def remaining_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unfinished(asked(spark, sf_dir).select("qid"), _two_states(spark, sf_dir), CONFIG.k)
+    active = asked(spark, sf_dir).select("qid")
+    return _every([unfinished(active, state, CONFIG.k) for state in _states(spark, sf_dir)])
 
 
 # --- evaluation and text -------------------------------------------------------------------------------------------
@@ -399,9 +461,9 @@ def eval_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("qid", "found", F.round("ratio", 6).alias("ratio"), "valid")
 
 
-@query(f"{RATIO} SELECT round(avg(ratio), 6) AS average_ratio, (50 - count(*) FILTER (found = 10))::BIGINT AS missed FROM r")
+@query(f"{RATIO} SELECT round(avg(ratio), 6) AS average_ratio, round(sum(ratio) / 50, 6) AS strict_ratio, (50 - count(*) FILTER (found = 10))::BIGINT AS missed FROM r")
 def eval_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.summary(_scored(spark, sf_dir), CONFIG.k, CONFIG.query_count).select(F.round("average_ratio", 6).alias("average_ratio"), "missed")
+    return neighbours.summary(_scored(spark, sf_dir), CONFIG.k, CONFIG.query_count).select(F.round("average_ratio", 6).alias("average_ratio"), F.round("strict_ratio", 6).alias("strict_ratio"), "missed")
 
 
 @query()
@@ -411,7 +473,7 @@ def eval_ratio_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def eval_missed_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.summary(_scored(spark, sf_dir, _derived), CONFIG.k, CONFIG.query_count).select(F.round("average_ratio", 6).alias("average_ratio"), "missed")
+    return neighbours.summary(_scored(spark, sf_dir, _derived), CONFIG.k, CONFIG.query_count).select(F.round("average_ratio", 6).alias("average_ratio"), F.round("strict_ratio", 6).alias("strict_ratio"), "missed")
 
 
 SQUARES = f"d AS (SELECT qid, id, p.coords AS coords, list_sum(list_transform(range(1, 65), lambda i: (p.coords[i] - q.coords[i])::BIGINT * (p.coords[i] - q.coords[i])))::BIGINT AS dist FROM p, q), x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d)"
@@ -431,7 +493,7 @@ def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PQ}, {SQUARES} SELECT qid, rank::INTEGER AS rank, id, dist::DOUBLE AS dist, list_sum(coords)::BIGINT AS total FROM x WHERE rank <= 10")
 def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points to text and back, neighbours among them, and the results to text and back."""
-    path = _scratch(spark)
+    path = scratch_path(spark)
     text.write_points(points(spark, sf_dir), f"{path}/points")
     read = text.read_points(spark, f"{path}/points")
     near = neighbours.exact_neighbours(read, asked(spark, sf_dir), CONFIG.k).withColumn("dist", F.round(F.pow("dist", F.lit(2.0))).cast("long"))
@@ -439,6 +501,30 @@ def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_results(spark, f"{path}/results", True).select("qid", "rank", "id", "dist", F.aggregate("coords", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+@query(f"WITH {E}, x AS (SELECT row_number() OVER (ORDER BY id DESC) - 1 AS qid, coords FROM e) SELECT qid, coords[1] AS first, list_sum(coords)::BIGINT AS total FROM x WHERE qid < 50")
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries out of a text file count by their place in it, whatever their ids: here from the greatest id down."""
+    path = scratch_path(spark)
+    text.write_points(tables.embedding_points(spark, sf_dir).orderBy(F.desc("id")).coalesce(1), path)
+    return text.read_queries(spark, path, CONFIG.query_count).select("qid", F.col("coords")[0].alias("first"), vector._total(F.col("coords")).alias("total"))
+
+
+def _truth_text(k: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_path(spark)
+        near = neighbours.exact_neighbours(points(spark, sf_dir), asked(spark, sf_dir), k)
+        text.write_ground_truth(near.withColumn("dist", F.round(F.pow("dist", F.lit(2.0)))), path, CONFIG.query_count, k)
+        return text.read_ground_truth(spark, path, CONFIG.query_count, k)
+
+    return run
+
+
+for _k in (1, 10):  # one neighbour a query makes every line as short as the first
+    _truth = _truth_text(_k)
+    _truth.__name__ = f"ground_truth_{_k}"
+    query(f"WITH {PQ}, {SQUARES} SELECT qid, rank::INTEGER AS rank, dist::DOUBLE AS dist FROM x WHERE rank <= {_k}")(_truth)
+
+
 # --- scalar functions ----------------------------------------------------------------------------------------------
 
 
@@ -460,12 +546,12 @@ def record_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("n_nationkey", vector.record_text(F.col("n_nationkey").cast("string"), F.col("n_name"), F.col("n_regionkey").cast("string")).alias("line"), same.alias("same"))
 
 
-@query(f"WITH {ONE_SQL}, m AS (SELECT bucket_id, list(id ORDER BY id) AS ids FROM pb WHERE radius_id = 6 AND table_id = 0 GROUP BY bucket_id) SELECT qid, coalesce(len(ids), 0)::INTEGER AS n, coalesce(ids[1], -1) AS first FROM qb LEFT JOIN m USING (bucket_id) WHERE radius_id = 6 AND table_id = 0")
+@query(f"WITH {ONE_SQL}, m AS (SELECT radius_id, table_id, bucket_id, list(id ORDER BY id) AS ids FROM pb GROUP BY ALL) SELECT qid, radius_id, table_id, coalesce(len(ids), 0)::INTEGER AS n, coalesce(ids[1], -1) AS first FROM qb LEFT JOIN m USING (radius_id, table_id, bucket_id)")
 def bucket_map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = index.bucket_lists(index.buckets(_one(spark, points(spark, sf_dir)), RADII).where("radius_id = 6 and table_id = 0"))
-    held = index.buckets(_one(spark, asked(spark, sf_dir)), RADII).where("radius_id = 6 and table_id = 0")
-    found = held.join(lists.select("bucket_id", "ids"), "bucket_id", "left")
-    return found.select("qid", F.coalesce(F.size("ids"), F.lit(0)).alias("n"), F.coalesce(F.get("ids", F.lit(0)), F.lit(-1)).alias("first"))
+    keys = ["radius_id", "table_id", "bucket_id"]
+    lists = index.bucket_lists(index.buckets(_one(spark, points(spark, sf_dir)), RADII))
+    found = index.buckets(_one(spark, asked(spark, sf_dir)), RADII).join(lists.select(*keys, "ids"), keys, "left")
+    return found.select("qid", "radius_id", "table_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n"), F.coalesce(F.get("ids", F.lit(0)), F.lit(-1)).alias("first"))
 
 
 @query("SELECT label, count(*)::INTEGER + 1 AS n, -1::BIGINT AS head, max(vec_id) AS last, 0 AS cleared FROM embeddings GROUP BY label")
@@ -476,9 +562,38 @@ def bucket_list_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longer.select("label", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("head"), F.element_at("ids", -1).alias("last"), F.size(F.slice("ids", 1, 0)).alias("cleared"))
 
 
+DRAWN = 200_000
+_HARMONIC = sum(1 / i for i in range(1, 101))
+
+
+@query(f"SELECT 5.0 AS gaussian_mean, 2.0 AS gaussian_deviation, 0.68 AS gaussian_inside, 0.0 AS uniform_mean, 0.58 AS uniform_deviation, {1 / _HARMONIC:.2f} AS zipf_first, {sum(1 / i for i in range(1, 11)) / _HARMONIC:.2f} AS zipf_tenth, 0.5 AS digits_mean, 0.9 AS digits_long, 15.0 AS bounded_mean, true AS inside")
+def random_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments and shares of the generators, rounded to what so many draws settle."""
+    df = random_generators(spark, sf_dir)
+    share = lambda x: F.avg(F.when(x, 1.0).otherwise(0.0))
+    inside = F.min(F.col("uniform").between(-1, 1) & F.col("zipf").between(0, 100) & F.col("digits").between(0, 10**10 - 1) & F.col("bounded").between(10, 20))
+    row = df.agg(F.avg("gaussian"), F.stddev("gaussian"), share(F.abs(F.col("gaussian") - 5) < 2), F.avg("uniform"), F.stddev("uniform"), share(F.col("zipf") < 1), share(F.col("zipf") < 10), F.avg(F.col("digits") / 10**10), share(F.col("digits") >= 10**9), F.avg("bounded"), inside.alias("inside"))
+    places = {"gaussian_mean": 1, "gaussian_deviation": 1, "gaussian_inside": 2, "uniform_mean": 1, "uniform_deviation": 2, "zipf_first": 2, "zipf_tenth": 2, "digits_mean": 2, "digits_long": 2, "bounded_mean": 1}
+    named = row.toDF(*places, "inside")
+    return named.select(*(F.expr(f"cast(abs(round({c}, {n})) as double)").alias(c) for c, n in places.items()), "inside")
+
+
+@query("SELECT 0.0 AS a_mean, 1.0 AS a_deviation, 0.5 AS b_mean, 0.3 AS b_deviation, true AS b_inside, 0.5 AS s_mean, true AS s_inside, 4 AS block_coefficients")
+def parameter_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projections are normal, shifts uniform in their domain, fold coefficients uniform and drawn for each block."""
+    p = make_params(0, 64, 64, 40, 100, CONFIG.seed, blocks=4)
+    domain = (1 << formulas.domain_bits(64, 64)) * WIDTH * SCALE
+    table = params_table(spark, [p])
+    each = table.select("block_id", "s", F.explode("projections").alias("p"))
+    a = each.select(F.explode("p.a").alias("a")).agg(F.abs(F.round(F.avg("a") / SCALE, 1)).alias("a_mean"), F.round(F.stddev("a") / SCALE, 1).alias("a_deviation"))
+    b = each.select((F.col("p.b") / domain).alias("b")).agg(F.round(F.avg("b"), 1).alias("b_mean"), F.round(F.stddev("b"), 1).alias("b_deviation"), F.min(F.col("b").between(0, 1)).alias("b_inside"))
+    s = table.select("s").distinct().select(F.col("s").alias("own"), F.explode("s").alias("s")).agg(F.round(F.avg("s") / (1 << 29), 1).alias("s_mean"), F.min((F.col("s") >= 1) & (F.col("s") < 1 << 29)).alias("s_inside"), F.countDistinct("own").cast("int").alias("block_coefficients"))
+    return a.join(b).join(s)  # one row each
+
+
 @query()
 def random_generators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1000).select("id", random.gaussian(5, 2, 1).alias("gaussian"), random.uniform(-1, 1, 2).alias("uniform"), random.zipf(0, 100, 1.0, 3).alias("zipf"), random.digits(10, 4).alias("digits"), random.bounded_digits(10, 20, 5).alias("bounded"))
+    return spark.range(DRAWN).select("id", random.gaussian(5, 2, 1).alias("gaussian"), random.uniform(-1, 1, 2).alias("uniform"), random.zipf(0, 100, 1.0, 3).alias("zipf"), random.digits(10, 4).alias("digits"), random.bounded_digits(10, 20, 5).alias("bounded"))
 
 
 @query()

@@ -19,23 +19,39 @@ def read_points(spark: SparkSession, path: str, zero_based: bool = False, glob:
     return parts.select(id_.alias("id"), F.slice("f", F.lit(2), F.size("f") - 1).cast("array<int>").alias("coords"))
 
 
+def positioned(spark: SparkSession, path: str, count: int) -> DataFrame:
+    """value and at (from 0) of the first count lines that are not blank, in the order in which the files hold them."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("i"))
+    first = spark.read.text(path).select("value", at.alias("at")).where(F.trim("value") != "").orderBy("at").limit(count)
+    return first.select("value", (F.row_number().over(Window.orderBy("at")) - 1).alias("at"))
+
+
 def read_queries(spark: SparkSession, path: str, count: int) -> DataFrame:
-    """qid, coords of the first count rows, in the order of their ids; the ids themselves are not used."""
-    first = read_points(spark, path).orderBy("id").limit(count)
-    return first.select((F.row_number().over(Window.orderBy("id")) - 1).alias("qid"), "coords")
+    """qid (0-based place), coords of the first count rows of the file; the ids themselves are not used."""
+    rows = positioned(spark, path, count).select("at", _fields(F.col("value")).alias("f"))
+    return rows.select(F.col("at").alias("qid"), F.slice("f", F.lit(2), F.size("f") - 1).cast("array<int>").alias("coords"))
 
 
 def read_ground_truth(spark: SparkSession, path: str, query_count: int, k: int) -> DataFrame:
-    """qid, rank (from 1), dist. Fails if the header promises fewer queries or neighbours than are asked for."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    header = lines.where(F.size(_fields(F.col("value"))) == 2).first()
-    n, most = (int(x) for x in header[0].split())
+    """qid (0-based place), rank (from 1), dist. The first line promises queries and neighbours; fails if these are
+    fewer than are asked for."""
+    lines = positioned(spark, path, query_count + 1).select("at", _fields(F.col("value")).alias("f"))
+    header = lines.where("at = 0").first()
+    if header is None or len(header.f) != 2:
+        raise ValueError("the ground truth does not begin with its numbers of queries and neighbours")
+    n, most = map(int, header.f)
     if n < query_count or most < k:
         raise ValueError(f"the ground truth has {n} queries with {most} neighbours")
-    rows = lines.where(F.size(_fields(F.col("value"))) > 2).select(_fields(F.col("value")).alias("f"))
-    rows = rows.select(F.col("f")[0].cast("long").alias("id"), F.slice("f", 2, k).cast("array<double>").alias("d"))
-    rows = rows.orderBy("id").limit(query_count).withColumn("qid", F.row_number().over(Window.orderBy("id")) - 1)
-    return rows.select("qid", F.posexplode("d").alias("rank", "dist")).withColumn("rank", F.col("rank") + 1)
+    rows = lines.where("at > 0").select((F.col("at") - 1).alias("qid"), F.posexplode(F.slice("f", 2, k).cast("array<double>")).alias("rank", "dist"))
+    return rows.withColumn("rank", F.col("rank") + 1)
+
+
+def write_ground_truth(near: DataFrame, path: str, query_count: int, k: int) -> None:
+    """A line with the numbers of queries and neighbours, then a line (id d1 ... dk) for each query (qid, rank, dist)."""
+    rows = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "dist"))).alias("d"))
+    lines = rows.select("qid", F.concat_ws(" ", (F.col("qid") + 1).cast("string"), F.array_join(F.transform("d", lambda x: x["dist"].cast("string")), " ")).alias("value"))
+    head = near.sparkSession.createDataFrame([(-1, f"{query_count} {k}")], "qid int, value string")
+    lines.unionByName(head).orderBy("qid").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
 def result_lines(results: DataFrame, with_id: bool) -> DataFrame:
