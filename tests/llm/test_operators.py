@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.llm import common, decontaminate, licenses, mixing, near_dup, secrets, sharding, token_count, toxicity, url_filter, wordhash
+from vecloom.llm import common, decontaminate, licenses, mixing, near_dup, quality, secrets, sharding, token_count, toxicity, url_filter, wordhash
 from vecloom.llm.queries import queries
 
 
@@ -324,6 +324,18 @@ def greedy_cuts(sizes, capacity):
     return cuts
 
 
+@pytest.mark.parametrize("lang", ["fi", None, "en"])
+def test_quality_tells_prose_from_noise_in_any_language(spark, lang):
+    r = random.Random(7)
+    common = "the of and to in a is that it for".split()
+    vocabulary = ["".join(r.choice("aeiouäy") if i % 2 else r.choice("klmnprstvh") for i in range(r.randint(3, 9))) for _ in range(400)]
+    prose = [" ".join((r.choice(common) if r.random() < 0.35 else r.choice(vocabulary)).capitalize() if r.random() < 0.1 else r.choice(vocabulary) if r.random() < 0.6 else r.choice(common) for _ in range(200)) + "." for _ in range(60)]
+    noise = [" ".join("".join(r.choice("0123456789#%&*$@XZQ") for _ in range(r.randint(2, 8))) for _ in range(200)) for _ in range(4)]
+    docs = docs_of(spark, [(i, t, lang) for i, t in enumerate(prose + noise)], "doc_id long, text string, lang string")
+    found = {x.doc_id: (x.base_failed, x.kept) for x in quality.judge(docs).collect()}
+    assert all(found[i] == (False, i < len(prose)) for i in range(len(prose) + len(noise)))
+
+
 def smallest_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
