@@ -566,7 +566,7 @@ DRAWN = 200_000
 _HARMONIC = sum(1 / i for i in range(1, 101))
 
 
-@query(f"SELECT 5.0 AS gaussian_mean, 2.0 AS gaussian_deviation, 0.68 AS gaussian_inside, 0.0 AS uniform_mean, 0.58 AS uniform_deviation, {1 / _HARMONIC:.2f} AS zipf_first, {sum(1 / i for i in range(1, 11)) / _HARMONIC:.2f} AS zipf_tenth, 0.5 AS digits_mean, 0.9 AS digits_long, 15.0 AS bounded_mean, true AS inside")
+@query(f"SELECT 5.0::DOUBLE AS gaussian_mean, 2.0::DOUBLE AS gaussian_deviation, 0.68::DOUBLE AS gaussian_inside, 0.0::DOUBLE AS uniform_mean, 0.58::DOUBLE AS uniform_deviation, {1 / _HARMONIC:.2f}::DOUBLE AS zipf_first, {sum(1 / i for i in range(1, 11)) / _HARMONIC:.2f}::DOUBLE AS zipf_tenth, 0.5::DOUBLE AS digits_mean, 0.9::DOUBLE AS digits_long, 15.0::DOUBLE AS bounded_mean, true AS inside")
 def random_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments and shares of the generators, rounded to what so many draws settle."""
     df = random_generators(spark, sf_dir)
@@ -578,7 +578,7 @@ def random_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(*(F.expr(f"cast(abs(round({c}, {n})) as double)").alias(c) for c, n in places.items()), "inside")
 
 
-@query("SELECT 0.0 AS a_mean, 1.0 AS a_deviation, 0.5 AS b_mean, 0.3 AS b_deviation, true AS b_inside, 0.5 AS s_mean, true AS s_inside, 4 AS block_coefficients")
+@query("SELECT 0.0::DOUBLE AS a_mean, 1.0::DOUBLE AS a_deviation, 0.5::DOUBLE AS b_mean, 0.3::DOUBLE AS b_deviation, true AS b_inside, 0.5::DOUBLE AS s_mean, true AS s_inside, 4 AS block_coefficients")
 def parameter_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projections are normal, shifts uniform in their domain, fold coefficients uniform and drawn for each block."""
     p = make_params(0, 64, 64, 40, 100, CONFIG.seed, blocks=4)
