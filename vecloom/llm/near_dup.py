@@ -17,13 +17,13 @@ COORDINATES collisions is 4e-6 for a pair, that to fail the sketches 4e-6, and l
 
 Groups of thousands of near copies are not expanded into all pairs; what is in one component needs no further
 comparison. First each class meets one class alone: the most connected one (the pivot) of most of its lists. Then it
-meets the pivots of its lists that are still in other components. Lists that hold several components even then are
-compared in blocks of at most BLOCK classes: those outside the list's largest component with each other and with that
+meets the pivots of its lists that are still in other components. Lists that hold several components even then, one of
+those with the same classes, are compared in blocks of at most BLOCK classes: those outside the list's largest component with each other and with that
 component's. Only pairs of different components, of fitting sizes and sketches leave a block: first the likeliest one
-of each class. When these are confirmed and joined, what remains is compared in full, so no link between components is
-lost: each class then brings its crossing shingles, those that a class of another component holds too (a pair has
-nothing else in common), if they are enough for any link. Pairs are decided inside their block, and a block tells no
-more than one link for each pair of components.
+of each class. Classes in no such pair are done, as components only grow. When these pairs are confirmed and joined,
+what remains is compared in full, so no link between components is lost: each class then brings its crossing shingles,
+those that a class of another component holds too (a pair has nothing else in common), if they are enough for any link.
+Pairs are decided inside their block, and a block tells no more than one link for each pair of components.
 
 Components come from contraction: each node points to its least neighbour, pointers are followed to their ends by
 doubling, and links between the ends remain. Both loops are logarithmic, also for long chains of versions. A class that
@@ -154,8 +154,9 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _comparing(likeliest: bool):
-    """The likeliest pair of each row of blocks, whose rows follow each other in the order of value, i, j and side; or,
-    from the rows' crossing shingles, a link for each two components that have one."""
+    """The likeliest pair of each row of blocks, whose rows follow each other in the order of value, i, j and side, so
+    that each row with any likely pair is named; or, from the rows' crossing shingles, a link for each two components
+    that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -184,6 +185,7 @@ def _block_pairs(rows: pa.RecordBatch, keys: np.ndarray, starts: np.ndarray, lik
     first = np.where(keys[1] == keys[2], np.arange(n_rows) + 1, middle)
     count = np.where(side == 0, end - first, 0)
     past = np.cumsum(count)
+    named = np.zeros(n_rows, bool)
     at = 0
     while at < n_rows:
         stop = max(at + 1, int(np.searchsorted(past, past[at] - count[at] + PAIRS, "right")))
@@ -197,15 +199,25 @@ def _block_pairs(rows: pa.RecordBatch, keys: np.ndarray, starts: np.ndarray, lik
             ok, estimate = alike(sketches[x], sketches[y], n[x] + n[y])
             x, y, estimate = x[ok], y[ok], estimate[ok]
             if likeliest:
-                order = np.lexsort((estimate, x))
-                last = order[np.flatnonzero(np.diff(x[order], append=n_rows))]
-                x, y = x[last], y[last]
+                best = _best(x, estimate)
+                named[x[best]] = named[y[best]] = True
+                rest = np.flatnonzero(~named[y])
+                rest = rest[_best(y[rest], estimate[rest])]
+                named[y[rest]] = True
+                best = np.concatenate([best, rest])
+                x, y = x[best], y[best]
             else:
                 x, y = _linked(x, y, np.argsort(-estimate, kind="stable"), comp, n, crossing)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
         at = stop
 
 
+def _best(rows: np.ndarray, estimate: np.ndarray) -> np.ndarray:
+    """For each different row, where it has its greatest estimate."""
+    order = np.lexsort((estimate, rows))
+    return order[np.flatnonzero(np.diff(rows[order], append=-1))]
+
+
 def _linked(x: np.ndarray, y: np.ndarray, order: np.ndarray, comp: np.ndarray, n: np.ndarray, crossing: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs, in the order given, those that are similar enough; one for each two components."""
     out, known = [], set()
@@ -336,10 +348,12 @@ def _crossings(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _several(placed: DataFrame) -> DataFrame:
-    """The lists of placed (value, node, comp) that hold several components: the one of most classes, and the numbers
-    of blocks in it and outside."""
-    sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"))
-    lists = sizes.groupBy("value").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("all")).where("comps > 1")
+    """The lists of placed (value, node, comp) that hold several components, one of those that hold the same classes:
+    the component of most classes, and the numbers of blocks in it and outside."""
+    mixed = [F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")]
+    sizes = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"), *mixed)
+    lists = sizes.groupBy("value").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("all"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    lists = lists.where("comps > 1").groupBy("all", "x", "y").agg(F.min(F.struct("value", "most")).alias("least")).select("least.*", "all")
     blocks = lambda m: F.ceil(m / BLOCK).cast("int")
     return written(lists.select("value", F.col("most.comp").alias("most"), blocks(F.col("most.m")).alias("ins"), blocks(F.col("all") - F.col("most.m")).alias("outs")))
 
@@ -411,7 +425,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     released(meets)
     pairs = _list_pairs(postings, labels, profiles, sets, True)
     labels = _merged(labels, _confirm(pairs, profiled, sets))
-    labels = _merged(labels, _list_pairs(postings, labels, profiles, sets, False))
+    likely = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()  # no others have links left
+    labels = _merged(labels, _list_pairs(postings.join(likely, "node", "left_semi"), labels, profiles, sets, False))
     released(pairs, postings, profiles, sets, repeated)
 
     placed = classes.select("node", "first").join(labels, "node")
