@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,6 +86,21 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, giving memory back to the system after its last batch: Spark keeps its Python workers for
+    later stages, and what they hold on to counts there."""
+
+    @wraps(run)
+    def run_tidily(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
+
+    return run_tidily
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it has no more than so many rows; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm import wordhash as wh
-from vecloom.llm.common import GROUP_ROWS, ascii_lower, released, running_sum, shipped, spread, written
+from vecloom.llm.common import GROUP_ROWS, ascii_lower, released, running_sum, shipped, spread, tidy, written
 
 WINDOW_WORDS, GRAM = 10, 5
 #: Words of one broadcast block of the benchmark: some 40 bytes each in the index.
@@ -186,7 +186,7 @@ def contamination_hits(docs: DataFrame, benchmark: DataFrame, block_words: int =
         block = texts.where(F.col("block") == i).toArrow()
         if block.num_rows:
             index = spark.sparkContext.broadcast(Index(block.column("ids").to_pylist(), block.column("text")))
-            df = df.mapInArrow(_pass(index), df.schema)
+            df = df.mapInArrow(tidy(_pass(index)), df.schema)
             if i + 1 < blocks:
                 df = written(df)
     return df
@@ -196,7 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     """docs, which have a text column, with a struct of the fields of REPORT."""
     hits = contamination_hits(docs, benchmark, block_words)
     schema = T.StructType([*docs.schema.fields, T.StructField("__report", T.StructType.fromDDL(REPORT))])
-    return hits.mapInArrow(_summed, schema).withColumnRenamed("__report", report)
+    return hits.mapInArrow(tidy(_summed), schema).withColumnRenamed("__report", report)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

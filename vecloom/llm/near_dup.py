@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm import wordhash as wh
-from vecloom.llm.common import released, shipped, written
+from vecloom.llm.common import released, shipped, tidy, written
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 48, 22
@@ -295,8 +295,8 @@ def _confirm(pairs: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFram
     """The pairs (a, b) with enough collisions and near enough sketches whose full shingle sets are similar enough."""
     pairs = written(pairs)
     met = _beside(_beside(pairs, profiles, "b", "a"), profiles, "a", "b").where(F.size(F.array_intersect("shared_a", "shared_b")) >= MATCHES)
-    likely = written(met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"))
-    links = written(_beside(_beside(likely, sets, "b", "a"), sets, "a", "b").select("a", "b", "own_a", "own_b").mapInArrow(_confirmed, "a long, b long").distinct())
+    likely = written(met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(_likely), "a long, b long"))
+    links = written(_beside(_beside(likely, sets, "b", "a"), sets, "a", "b").select("a", "b", "own_a", "own_b").mapInArrow(tidy(_confirmed), "a long, b long").distinct())
     released(pairs, likely)
     return links
 
@@ -337,12 +337,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _crossings(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """node and crossing, the shingles (as sorted bytes) that a node of another component holds too, of those nodes
     (node, comp, n) that have enough of them for any link."""
-    hashes = written(sets.join(nodes, "node").select("node", "comp", "own").mapInArrow(_exploded, "node long, comp long, hash long"))
+    hashes = written(sets.join(nodes, "node").select("node", "comp", "own").mapInArrow(tidy(_exploded), "node long, comp long, hash long"))
     shared = hashes.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("hash")
     held = hashes.join(shared, "hash").select("node", "hash")
     enough = held.groupBy("node").agg(F.count(F.lit(1)).alias("reach")).join(nodes, "node").where(100 * F.col("reach") >= PERCENT * F.col("n"))
     listed = held.join(enough.select("node"), "node", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
-    out = written(listed.mapInArrow(_packed, "node long, crossing binary"))
+    out = written(listed.mapInArrow(tidy(_packed), "node long, crossing binary"))
     released(hashes)
     return out
 
@@ -377,7 +377,7 @@ def _list_pairs(postings: DataFrame, labels: DataFrame, profiles: DataFrame, set
     rows = rows.withColumn("at", F.explode(F.when(F.col("comp") == F.col("most"), inside).otherwise(outside))).select("value", "at.*", "node", "comp")
     rows = rows.join(known, "node").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "side")
     rows = rows.select("value", "i", "j", "side", "node", "comp", *(c for c in known.columns if c != "node"))
-    pairs = written(rows.mapInArrow(_comparing(likeliest), "a long, b long").distinct())
+    pairs = written(rows.mapInArrow(tidy(_comparing(likeliest)), "a long, b long").distinct())
     released(placed, several)
     return pairs
 
@@ -385,7 +385,7 @@ def _list_pairs(postings: DataFrame, labels: DataFrame, profiles: DataFrame, set
 def _set_table(docs: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
     """node and own, the bytes of its set, of classes (node, first: a document that has it)."""
     rows = docs.join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = rows.mapInArrow(_sets, "doc_id long, digest binary, own binary").withColumn("node", F.xxhash64("digest")).drop("digest")
+    sets = rows.mapInArrow(tidy(_sets), "doc_id long, digest binary, own binary").withColumn("node", F.xxhash64("digest")).drop("digest")
     sets = sets.join(classes.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi")
     if repeated.isEmpty():
         return written(sets.drop("doc_id"))
@@ -397,7 +397,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of docs (doc_id, text)."""
     shipped(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, signature array<long>, sketch binary")
+    signed = docs.mapInArrow(tidy(_signed), "doc_id long, n_shingles long, digest binary, signature array<long>, sketch binary")
     signed = written(signed.withColumn("node", F.when(F.col("digest").isNotNull(), F.xxhash64("digest"))).drop("digest"))
     posted = signed.where("node is not null and doc_id is not null")
     classes = written(posted.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.any_value(x).alias(x) for x in ("n_shingles", "signature", "sketch"))))

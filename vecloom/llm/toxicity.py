@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm import wordhash as wh
-from vecloom.llm.common import shipped
+from vecloom.llm.common import shipped, tidy
 
 #: Least and greatest n-gram, log2 of the number of vectors, their dimensions, steps and size of a step.
 LEAST_N, MOST_N, BUCKET_BITS, DIMENSIONS, STEPS, RATE = 3, 6, 18, 8, 100, 0.05
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.scores(batch.column("text")))], names=[*batch.schema.names, "__score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])).withColumnRenamed("__score", out)
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])).withColumnRenamed("__score", out)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
