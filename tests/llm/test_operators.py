@@ -291,6 +291,14 @@ def test_targets_equal_resharing_step_by_step(spark):
         assert found == pytest.approx(filled(sizes, [mixing.WEIGHTS[i % 3] for i in range(n)]))
 
 
+def test_targets_of_more_words_than_an_int_holds_thrice(spark):
+    """Some 5 GB of documents, whose number of words fits an int where three times it does not."""
+    for sizes in ([400_000_000, 300_000_000, 100_000_000], [2_000_000_000, 10, 2_000_000_000]):
+        df = mixing.water_filled(spark.createDataFrame([(i + 1, s) for i, s in enumerate(sizes)], "sid int, source_size long"))
+        found = [r.target for r in df.orderBy("sid").collect()]
+        assert found == pytest.approx(filled(sizes, [mixing.WEIGHTS[i % 3] for i in range(3)]))
+
+
 def test_schedule_spreads_every_source(spark):
     sources = spark.createDataFrame([(1, 0, 600), (2, 600, 900), (3, 900, 1024)], "sid int, first long, last long")
     slots = mixing.schedule(sources, 1024).orderBy("slot").collect()

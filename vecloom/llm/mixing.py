@@ -64,8 +64,8 @@ def water_filled(sources: DataFrame) -> DataFrame:
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("sid") - 1) % len(WEIGHTS) + 1).cast("int"))
     df = sources.withColumn("weight", weight).withColumn("cap_by_weight", F.col("source_size") * MOST_PASSES / F.col("weight"))
     df, (size, heavy) = in_order(df, ["cap_by_weight", "sid"], {"capped": "source_size", "light": "weight"})
-    left = F.lit(size) * SHARE_NUM - F.col("capped") * MOST_PASSES * SHARE_DEN
-    df = df.withColumn("level", left / ((F.lit(heavy) - F.col("light")) * SHARE_DEN).cast("double"))
+    left = F.lit(size).cast("long") * SHARE_NUM - F.col("capped") * MOST_PASSES * SHARE_DEN
+    df = df.withColumn("level", left / ((F.lit(heavy).cast("long") - F.col("light")) * SHARE_DEN).cast("double"))
     fitting = F.min(F.when(F.col("level") <= F.col("cap_by_weight"), F.struct("cap_by_weight", "sid", "level")))
     common = F.lit(df.agg(fitting["level"].alias("level")).first()[0]).cast("double")
     target = F.when(F.col("cap_by_weight") <= common, F.col("source_size") * MOST_PASSES).otherwise(F.col("weight") * common)
@@ -99,7 +99,7 @@ def mix(docs: DataFrame) -> Mix:
     named, _ = in_order(named.withColumn("one", F.lit(1)), [F.asc_nulls_last("source")], {"sid": "one"})
     sources = water_filled(named.drop("one").withColumn("sid", (F.col("sid") + 1).cast("int")))
     sources, (total,) = in_order(sources.withColumn("words", F.floor("target").cast("long")), ["sid"], {"before": "words"})
-    sources = sources.withColumns({"past": F.col("before") + F.col("words"), "all": F.lit(total)}).drop("before")
+    sources = sources.withColumns({"past": F.col("before") + F.col("words"), "all": F.lit(total).cast("long")}).drop("before")
     least = sources.agg(F.coalesce(F.min(F.when(F.col("words") > 0, F.col("words"))), F.lit(1))).first()[0]
     slots = min(_power_of_two(max(LEAST_SLOTS * total / least, total / MOST_BLOCK, 1)), max(_power_of_two(total / LEAST_BLOCK), _power_of_two(total / MOST_BLOCK), 1))
     own = {"first": F.expr(f"cast(coalesce((cast(past - words as decimal(19,0)) * {slots}) div nullif(all, 0), 0) as bigint)"), "last": F.expr(f"cast(coalesce((cast(past as decimal(19,0)) * {slots}) div nullif(all, 0), 0) as bigint)")}
