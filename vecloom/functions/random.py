@@ -32,7 +32,14 @@ def zipf(low: float, high: float, exponent: float, seed: int, values: int = 100)
     for s in shares:
         total += s / sum(shares)
         edges.append(total)
-    known = F.array(*map(F.lit, edges))
-    # bound once: a random column inside the filter would be drawn anew for every edge
-    below = let(F.rand(seed), lambda at: F.size(F.filter(known, lambda e: e <= at)))
-    return F.lit(low) + F.least(below, F.lit(values - 1)) * ((high - low) / values)
+
+    def below(at: Column, low: int, high: int) -> Column:
+        """How many edges lie at or below at, known to be from low to high: a binary search, unrolled."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(at < edges[middle], below(at, low, middle)).otherwise(below(at, middle + 1, high))
+
+    # bound once: a random column inside the search would be drawn anew at every step
+    place = let(F.rand(seed), lambda at: below(at, 0, values))
+    return F.lit(low) + F.least(place, F.lit(values - 1)) * ((high - low) / values)

@@ -562,14 +562,16 @@ def bucket_list_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longer.select("label", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("head"), F.element_at("ids", -1).alias("last"), F.size(F.slice("ids", 1, 0)).alias("cleared"))
 
 
-DRAWN = 200_000
+#: Draws that are shown, and draws that settle every rounded moment: the nearest to an edge is the tenth Zipf share, 0.0004
+#: from it and over four of its standard errors with so many. Seeds go by partition, so the number of these is fixed.
+DRAWN, SETTLED, DRAWN_PARTS = 200_000, 30_000_000, 32
 _HARMONIC = sum(1 / i for i in range(1, 101))
 
 
 @query(f"SELECT 5.0::DOUBLE AS gaussian_mean, 2.0::DOUBLE AS gaussian_deviation, 0.68::DOUBLE AS gaussian_inside, 0.0::DOUBLE AS uniform_mean, 0.58::DOUBLE AS uniform_deviation, {1 / _HARMONIC:.2f}::DOUBLE AS zipf_first, {sum(1 / i for i in range(1, 11)) / _HARMONIC:.2f}::DOUBLE AS zipf_tenth, 0.5::DOUBLE AS digits_mean, 0.9::DOUBLE AS digits_long, 15.0::DOUBLE AS bounded_mean, true AS inside")
 def random_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments and shares of the generators, rounded to what so many draws settle."""
-    df = random_generators(spark, sf_dir)
+    df = _drawn(spark, SETTLED)
     share = lambda x: F.avg(F.when(x, 1.0).otherwise(0.0))
     inside = F.min(F.col("uniform").between(-1, 1) & F.col("zipf").between(0, 100) & F.col("digits").between(0, 10**10 - 1) & F.col("bounded").between(10, 20))
     row = df.agg(F.avg("gaussian"), F.stddev("gaussian"), share(F.abs(F.col("gaussian") - 5) < 2), F.avg("uniform"), F.stddev("uniform"), share(F.col("zipf") < 1), share(F.col("zipf") < 10), F.avg(F.col("digits") / 10**10), share(F.col("digits") >= 10**9), F.avg("bounded"), inside.alias("inside"))
@@ -591,9 +593,13 @@ def parameter_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b).join(s)  # one row each
 
 
+def _drawn(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(0, n, 1, DRAWN_PARTS).select("id", random.gaussian(5, 2, 1).alias("gaussian"), random.uniform(-1, 1, 2).alias("uniform"), random.zipf(0, 100, 1.0, 3).alias("zipf"), random.digits(10, 4).alias("digits"), random.bounded_digits(10, 20, 5).alias("bounded"))
+
+
 @query()
 def random_generators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(DRAWN).select("id", random.gaussian(5, 2, 1).alias("gaussian"), random.uniform(-1, 1, 2).alias("uniform"), random.zipf(0, 100, 1.0, 3).alias("zipf"), random.digits(10, 4).alias("digits"), random.bounded_digits(10, 20, 5).alias("bounded"))
+    return _drawn(spark, DRAWN)
 
 
 @query()
