@@ -114,6 +114,30 @@ def world(spark):
     return points, asked, params, radii, p, q, hits
 
 
+def test_buckets_by_matrices_equal_buckets_by_columns(spark, world):
+    _, _, params, radii, p, _, _ = world
+    key = ["part", "id", "block_id", "table_id", "radius_id", "radius", "bucket_id"]
+    rows = lambda df: sorted(map(tuple, df.select(key).collect()))
+    table = params_table(spark, params)
+    expected = rows(index.buckets(index.base_buckets(p, table, 0), radii))
+    assert rows(index.hashed(p, params, radii)) == expected
+    assert rows(index.hashed(p, params, radii, 3, 2)) == [r for r in expected if r[4] == 3 and r[3] < 2]
+    with pytest.raises(Exception, match="outside the domain"):
+        index.hashed(p.withColumn("coords", F.transform("coords", lambda x: x + 10**8)), params, radii).collect()
+
+
+def test_collisions_beyond_the_budget_are_not_expanded(spark):
+    """Equal points fill a bucket of every table; no more tables are searched than the budget pays for."""
+    points = spark.range(500).select("id", F.array(F.lit(3), F.lit(4)).alias("coords"))
+    asked = points.where("id < 5").select(F.col("id").cast("int").alias("qid"), "coords")
+    held = engine.build(points, LshConfig(k=3), asked)
+    budget = held.budgets[0]
+    all_of, paid = (engine.hits_by_radius(held, asked, b)(0, asked.select("qid")) for b in (None, budget))
+    first = lambda df: sorted(map(tuple, candidates.within_budget(df, budget, ["qid"]).select("qid", "table_id", "id", "pos").collect()))
+    assert all_of.count() == 5 * 500 * held.params[0].tables and paid.count() == 5 * 500 * -(-budget // 500)
+    assert first(all_of) == first(paid) and len(first(paid)) == 5 * budget
+
+
 def bucket(params, table, radius, coords):
     r = 0
     for a, b, s in zip(params.a[table], params.b[table], params.s[params.block(table)]):

@@ -21,6 +21,17 @@ def within_budget(hits: DataFrame, budget: int, by: list[str]) -> DataFrame:
     return hits.withColumn("pos", F.row_number().over(place)).where(F.col("pos") <= budget)
 
 
+def affordable(query_buckets: DataFrame, point_buckets: DataFrame, budget: int) -> DataFrame:
+    """The rows of query_buckets, of one radius and marked for broadcast if they are few, whose table comes before the
+    query has spent its budget; the collisions of all others are beyond it. Buckets are counted, not expanded, so that
+    large ones cost no more than their points."""
+    held = point_buckets.join(query_buckets.select(*KEYS).distinct(), KEYS, "left_semi")
+    sizes = held.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("met"))
+    earlier = Window.partitionBy("part", "qid").orderBy("table_id").rowsBetween(Window.unboundedPreceding, -1)
+    spent = query_buckets.join(sizes, KEYS).withColumn("spent", F.coalesce(F.sum("met").over(earlier), F.lit(0)))
+    return spent.where(F.col("spent") < budget).drop("met", "spent")
+
+
 def first_met(hits: DataFrame, by: list[str]) -> DataFrame:
     """One row for each (by, id): where it was met first, in the order of radius and table."""
     return hits.groupBy(*by, "id").agg(F.min(F.struct("radius_id", "table_id", "radius")).alias("f")).select(*by, "id", "f.radius_id", "f.table_id", "f.radius")

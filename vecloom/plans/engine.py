@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from vecloom.config import LshConfig
 from vecloom.operators import index as ix
-from vecloom.operators.candidates import collide
+from vecloom.operators.candidates import affordable, collide
 from vecloom.operators.params import LshParams, derived_params, params_from, params_table
 from vecloom.operators.stats import read_statistics, statistics
 from vecloom.plans.iterative import search_iterative
 from vecloom.plans.partitioned import search_partitioned
-from vecloom.plans.scratch import scratch_path
+from vecloom.plans.scratch import kept
+
+#: Buckets of queries that are broadcast at once.
+MOST_ASKED = 200_000
 
 
 @dataclass
@@ -61,10 +64,8 @@ def build(points: DataFrame, config: LshConfig, queries: DataFrame | None = None
 
 def from_parameters(placed: DataFrame, params: list[LshParams], config: LshConfig, found: dict[str, int]) -> Index:
     """An index of points with part and split_start by parameters that are given."""
-    table = params_table(placed.sparkSession, params)
-    based = ix.base_buckets(placed.drop("split_start"), table, sum(p.a.size for p in params))
-    out = Index(config, found, placed, params, based)
-    return replace(out, buckets=ix.buckets(based, out.radii))
+    out = Index(config, found, placed, params, placed)
+    return replace(out, buckets=ix.hashed(placed.drop("split_start"), params, out.radii))
 
 
 def save(index: Index, path: str) -> Index:
@@ -85,31 +86,41 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(config, meta, spark.read.parquet(f"{path}/points"), params, spark.read.parquet(f"{path}/buckets"), path)
 
 
-def based_queries(index: Index, queries: DataFrame) -> DataFrame:
-    """part, table_id, qid and base of queries, in every partition."""
-    spark = queries.sparkSession
-    parts = F.broadcast(spark.createDataFrame([(p.part,) for p in index.params], "part int"))
-    return ix.base_buckets(queries.join(parts), params_table(spark, index.params), sum(p.a.size for p in index.params))
+def in_every_part(index: Index, queries: DataFrame) -> DataFrame:
+    """queries with part, in every partition."""
+    parts = F.broadcast(queries.sparkSession.createDataFrame([(p.part,) for p in index.params], "part int"))
+    return queries.join(parts)
 
 
 def query_hits(index: Index, queries: DataFrame) -> DataFrame:
     """Collisions at every radius."""
-    return collide(ix.buckets(based_queries(index, queries), index.radii), index.buckets)
+    return collide(ix.hashed(in_every_part(index, queries), index.params, index.radii), index.buckets)
 
 
-def hits_by_radius(index: Index, queries: DataFrame) -> Callable[[int, DataFrame], DataFrame]:
+def hits_by_radius(index: Index, queries: DataFrame, budget: int | None = None) -> Callable[[int, DataFrame], DataFrame]:
     """Collisions at one radius of the queries still active. Buckets are read by radius; those of an index that is not
-    stored are written to the shared folder first, once."""
-    buckets = index.buckets
-    if index.path is None:
-        path = scratch_path(queries.sparkSession)
-        buckets.write.partitionBy("radius_id").parquet(path)
-        buckets = queries.sparkSession.read.parquet(path)
-    based = based_queries(index, queries)
+    stored are hashed for each radius anew, as far as they are needed. budget: collisions that a query may spend, in
+    the order of tables; those of later tables are left out."""
+    every = in_every_part(index, queries)
+    tables = max((p.tables for p in index.params), default=0) * len(index.params)
+    vectors = index.points.drop("split_start")
+
+    def rows(i: int, upto: int | None = None) -> DataFrame:
+        if index.path is None:
+            return ix.hashed(vectors, index.params, index.radii, i, upto)
+        found = index.buckets.where(F.col("radius_id") == i)
+        return found if upto is None else found.where(F.col("table_id") < upto)
 
     def at(i: int, active: DataFrame) -> DataFrame:
-        mine = ix.buckets(based.join(active, "qid", "left_semi"), index.radii, i)
-        return collide(mine, buckets.where(F.col("radius_id") == i))
+        mine = ix.hashed(every.join(active, "qid", "left_semi"), index.params, index.radii, i)
+        if active.limit(MOST_ASKED // max(1, tables) + 1).count() * tables > MOST_ASKED:
+            return collide(mine, rows(i))
+        mine = F.broadcast(kept(mine))
+        if budget is None:
+            return collide(mine, rows(i))
+        mine = kept(affordable(mine, rows(i), budget))
+        last = mine.agg(F.max("table_id")).first()[0]
+        return collide(F.broadcast(mine), rows(i, 0 if last is None else last + 1))
 
     return at
 
@@ -120,7 +131,10 @@ def answer(index: Index, queries: DataFrame, iterative: bool = False, strict: bo
     if iterative:
         if config.partitions != 1:
             raise ValueError("the iterative search takes one partition")
-        return Answer(*search_iterative(hits_by_radius(index, queries), index.points, queries, config.k, config.ratio, index.budgets[0], index.radii))
+        if index.path is None:
+            index = replace(index, points=kept(index.points))
+        queries = kept(queries)  # else every radius reads and orders the points for them
+        return Answer(*search_iterative(hits_by_radius(index, queries, index.budgets[0]), index.points, queries, config.k, config.ratio, index.budgets[0], index.radii))
     points = index.points.select("part", "id", "coords")
     return Answer(search_partitioned(query_hits(index, queries), points, queries, config.k, config.ratio, index.budgets, index.radii, strict), len(index.radii))
 

@@ -1,7 +1,7 @@
 """Iterative search: one index, one plan for each radius, and only unfinished queries go on.
 
 A query is finished with k points within ratio * radius, or after the last radius. What it has found is carried to
-the next radius. The loop writes its small state to the checkpoint folder each time, so that plans do not grow and a
+the next radius. The loop writes its small state to the shared folder each time, so that plans do not grow and a
 lost executor loses nothing.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vecloom.operators.candidates import within_budget
 from vecloom.operators.neighbours import nearest, with_distance
-from vecloom.plans.scratch import checkpointed
+from vecloom.plans.scratch import kept
 
 
 def merge_state(state: DataFrame | None, found: DataFrame, k: int) -> DataFrame:
@@ -36,8 +36,8 @@ def search_iterative(hits_at: Callable[[int, DataFrame], DataFrame], points: Dat
     for i, radius in enumerate(radii):
         pairs = within_budget(hits_at(i, active), budget, ["qid"]).select("qid", "id").distinct()
         near = with_distance(pairs, points, queries).where(F.col("dist") < ratio * radius).select("qid", "id", "dist")
-        state, done = checkpointed(merge_state(state, near, k)), i + 1
-        active = checkpointed(unfinished(active, state, k))
+        state, done = kept(merge_state(state, near, k)), i + 1
+        active = kept(unfinished(active, state, k))
         if active.isEmpty():
             break
     return state.select("qid", "rank", "id", "dist"), done

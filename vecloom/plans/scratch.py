@@ -25,6 +25,13 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/vecloom-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and stored in the shared folder (a checkpoint computes it twice)."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut."""
     context = df.sparkSession.sparkContext
